@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, mixing, sharding
+from . import chat, linededup, mixing, neardup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash_pigeonring": neardup.op3_simhash_pigeonring,
         "op4_shard_by_bytes": sharding.op4_shard_by_bytes,
         "op5_mix_packed_blocks": mixing.op5_mix_packed_blocks,
         "op6_line_windows": linededup.op6_line_windows,
