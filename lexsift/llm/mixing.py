@@ -84,7 +84,7 @@ def plan_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, out_shards: int =
         F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-")).alias("src"),
     )
     sized = written(sized, "mix-sized")
-    stretches = 1 << max(0, (-(-sized.count() // ROWS_A_STRETCH) - 1)).bit_length() + 4
+    stretches = 1 << max(0, (-(-sized.count() // ROWS_A_STRETCH) - 1)).bit_length() + 8
     sized = sized.withColumn("stretch", F.floor(F.col("h") / (1 << 60) * stretches))
     sums = written(sized.groupBy("src", "source", "stretch").agg(F.sum("size").alias("words")), "mix-sums")
     totals = written(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size"))), "mix-sources")
