@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, linededup, mixing, neardup, pieces, sharding, tokens
+from . import chat, linededup, mixing, neardup, pieces, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_packed_blocks": mixing.op5_mix_packed_blocks,
         "op6_line_windows": linededup.op6_line_windows,
         "op7_distinct_chunks": pieces.op7_distinct_chunks,
+        "op9_perplexity_bands": quality.op9_perplexity_bands,
         "op10_rotate_perspectives": chat.op10_rotate_perspectives,
     }
 
