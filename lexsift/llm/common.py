@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAPS = r"[\x20\x09-\x0D]+"
 #: A broadcast side may have this many rows at most; beyond it a shuffled join is planned.
 BROADCAST_ROWS = 100_000
+#: Rows of an Arrow batch: texts may be long, and Python holds a batch several times over.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +38,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage of ``df`` by a Parquet table in the shared folder; the file system removes it at the session's end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexsift-{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+    schema, rows = df.schema, spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, ARROW_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, rows)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(conf).deleteOnExit(place)

@@ -1,9 +1,10 @@
 """Token counts without ids: pieces are counted once for each distinct pre-token.
 
-The corpus's pre-tokens are counted; each distinct one is run through the tokenizer
-once, which gives the table (pre-token, pieces).  Documents turn into pre-token
-frequencies and meet the table in two ways: the frequent head of it, of bounded
-size, is broadcast; the rest joins by shuffle, where no key is frequent any more.
+Documents turn into pre-token frequencies.  Each distinct pre-token is run through the
+tokenizer once, which gives a table (pre-token, pieces), and frequencies meet the
+table in two ways: a head of frequent pre-tokens, of bounded size, is broadcast; all
+others join by shuffle, where no key is frequent any more.  The head is picked from a
+sample of documents; it decides which way a pre-token takes, never what it counts.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .common import table, written
 
 #: Distinct strings that are broadcast, and UTF-8 bytes of each, at most: at most 16 MiB of text.
 HEAD, HEAD_BYTES = 1 << 18, 64
-#: Distinct strings that a task counts before it hands them on.
-FLUSH = 1 << 19
+#: Documents, about, of the sample that the head is picked from.
+SAMPLE = 50_000
+#: Distinct strings that a task counts, and rows that it gathers, before it hands them on.
+FLUSH = 1 << 17
 #: Tokens over which a document is marked.
 LIMIT = 512
 
@@ -52,6 +55,14 @@ def counted_strings(docs: DataFrame, split: Splitter) -> DataFrame:
     return docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def frequent_strings(docs: DataFrame, split: Splitter, rows: int = HEAD, sample: int = SAMPLE) -> list[str]:
+    """At most ``rows`` strings that ``split`` cuts often from a sample of the texts."""
+    share = sample / max(1, docs.count())
+    some = docs.sample(share, seed=1) if share < 1 else docs
+    counts = written(counted_strings(some, split), "strings")
+    return [r["piece"] for r in counts.where(head_of(counts, rows)).select("piece").collect()]
+
+
 def head_of(pieces: DataFrame, rows: int = HEAD) -> Column:
     """The condition that picks the most frequent strings of (piece, n), at most ``rows`` short ones: n at or over a threshold."""
     fits = F.octet_length("piece") <= HEAD_BYTES
@@ -106,26 +117,16 @@ class Pretokenizer:
         return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def piece_table(docs: DataFrame, pre: Pretokenizer) -> DataFrame:
-    """(piece, n, n_pieces) of every distinct pre-token of the corpus, written; each is tokenized once."""
-    made: Callable[[], Splitter] = pre.splitter
-
-    def split_lazily() -> Splitter:
-        split: list[Splitter] = []
-
-        def go(text: str) -> list[str]:
-            if not split:
-                split.append(made())
-            return split[0](text)
+def _lazily(make: Callable[[], Splitter]) -> Splitter:
+    """A splitter that is made at the first call (compiled patterns don't travel)."""
+    made: list[Splitter] = []
 
-        return go
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = pre.counter()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count(b.column(0).to_pylist()), pa.int64())], ["piece", "n", "n_pieces"])
+    def split(text: str) -> list[str]:
+        if not made:
+            made.append(make())
+        return made[0](text)
 
-    return written(counted_strings(docs, split_lazily()).mapInArrow(measure, "piece string, n long, n_pieces long"), "pretokens")
+    return split
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, head_rows: int = HEAD) -> DataFrame:
@@ -139,15 +140,21 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, head_
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     pre = Pretokenizer(tokenizer_file)
-    pieces = piece_table(docs, pre)
-    frequent = head_of(pieces, head_rows)
-    head = spark.sparkContext.broadcast({r["piece"]: r["n_pieces"] for r in pieces.where(frequent).select("piece", "n_pieces").collect()})
+    frequent = frequent_strings(docs, _lazily(pre.splitter), head_rows)
+    head = spark.sparkContext.broadcast(dict(zip(frequent, pre.counter()(frequent))))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For a document one row without a piece (what the head gives) and one for each other distinct pre-token."""
         split, specials, known = pre.splitter(), pre.specials(), head.value
+        rows: tuple[list, ...] = ([], [], [], [], [])
+
+        def out() -> pa.RecordBatch:
+            arrays = [pa.array(x, pa.string() if k == 2 else pa.int64()) for k, x in enumerate(rows)]
+            for x in rows:
+                x.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "k", "piece", "n", "n_bytes"])
+
         for batch in batches:
-            ids, keys, names, counts, sizes = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
                 raw = text.encode()
@@ -156,14 +163,25 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, head_
                 for name, n in Counter(split(text)).items():
                     k = known.get(name)
                     if k is None:
-                        ids.append(doc_id), keys.append(key), names.append(name), counts.append(n), sizes.append(None)
+                        for x, value in zip(rows, (doc_id, key, name, n, None)):
+                            x.append(value)
                     else:
                         total += k * n
-                ids.append(doc_id), keys.append(key), names.append(None), counts.append(total), sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "k", "piece", "n", "n_bytes"])
+                for x, value in zip(rows, (doc_id, key, None, total, len(raw))):
+                    x.append(value)
+                if len(rows[0]) > FLUSH:
+                    yield out()
+            yield out()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = pre.counter()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(0).to_pylist()), pa.int64())], ["piece", "n_pieces"])
 
     found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frequencies, "doc_id long, k long, piece string, n long, n_bytes long"), "frequencies")
-    rare = found.where("piece IS NOT NULL").join(pieces.where(~frequent).select("piece", "n_pieces"), "piece")
+    others = found.where("piece IS NOT NULL")
+    pieces = others.select("piece").distinct().mapInArrow(measure, "piece string, n_pieces long")
+    rare = others.select("doc_id", "k", "piece", "n").join(pieces, "piece")
     parts = rare.select("doc_id", "k", (F.col("n") * F.col("n_pieces")).alias("n"), F.lit(0).alias("copies"), F.lit(None).cast("long").alias("n_bytes"))
     base = found.where("piece IS NULL").select("doc_id", "k", "n", F.lit(1).alias("copies"), "n_bytes")
     every = parts.unionByName(base)
