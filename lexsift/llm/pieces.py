@@ -2,10 +2,11 @@
 
 Where no piece of a model has a whitespace marker after another character, a text
 falls into chunks (markers and the characters up to the next marker) that are
-segmented independently.  The corpus's chunks are counted; the frequent ones, of
-bounded number, are segmented once and broadcast as (chunk, ids, decoded).  Any other
-chunk is segmented once in a task, in the task's own table, as rare chunks meet few
-tasks.  A document's ids are the chunks' ids joined by position.
+segmented independently.  A table (chunk, ids, decoded) holds each distinct chunk once:
+frequent ones, of bounded number, are segmented once for the corpus and broadcast; any
+other is segmented once in a task, in the task's own part of the table, as rare chunks
+meet few tasks.  A document's ids are its chunks' ids joined by position.  (A shuffled
+join of all positions instead would write several times the input; see the README.)
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .tokens import HEAD, counted_strings, head_of
+from .common import table
+from .tokens import HEAD, frequent_strings
 
 MARK = "▁"
 #: Chunks that a task's own table holds before it starts anew.
@@ -76,15 +77,8 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
     model = ChunkModel(model_file)
     chunks = ChunkModel.chunks
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = model.processor()
-        for b in batches:
-            found = ChunkModel.entries(sp, b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([e[k] for e in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))], ["piece", "n", "ids", "decoded"])
-
-    counts = written(counted_strings(docs, chunks), "chunks")
-    rows = counts.where(head_of(counts, head_rows)).select("piece").mapInArrow(measure, "piece string, n long, ids string, decoded string").collect()
-    head = spark.sparkContext.broadcast({r["piece"]: (r["n"], r["ids"], r["decoded"]) for r in rows})
+    frequent = frequent_strings(docs, chunks, head_rows)
+    head = spark.sparkContext.broadcast(dict(zip(frequent, ChunkModel.entries(model.processor(), frequent))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, known = model.processor(), head.value
