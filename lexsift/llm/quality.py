@@ -266,7 +266,7 @@ def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double, k long"
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).mapInArrow(score, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    scored = written(scored.withColumn("base_failed", failed).withColumn("log_ppl", F.log(F.col("nll") / F.col("n_words"))), "scored")
+    scored = written(scored.withColumn("base_failed", failed).withColumn("log_ppl", F.log(F.try_divide("nll", "n_words"))), "scored")
     # Centre and spread of a language: medians over all documents that pass the rules.
     passed = scored.where("NOT base_failed AND nll > 0")
     centre = passed.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("centre"))
@@ -277,7 +277,7 @@ def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
     )
     # Variance of a document of n words: half the spread of all, and what shrinks with length (2.198: median to mean of squares).
     bands = spread.select(F.col("lang").alias("b_lang"), "centre", (F.col("mad") * 1.4826 / 2).alias("floor"), (F.col("by_length") * 2.198).alias("by_length"))
-    sd = F.sqrt(F.col("by_length") / F.col("n_words") + F.col("floor") * F.col("floor"))
+    sd = F.sqrt(F.try_divide("by_length", "n_words") + F.col("floor") * F.col("floor"))
     both = scored.join(F.broadcast(bands), F.col("lang") == F.col("b_lang"), "left")  # LANGUAGES + 1 rows at most
     low, high = F.exp(F.col("centre") - band * sd), F.exp(F.col("centre") + band * sd)
     ppl = F.exp("log_ppl")
