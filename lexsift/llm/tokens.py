@@ -25,6 +25,8 @@ from .common import table, written
 HEAD, HEAD_BYTES = 1 << 18, 64
 #: Documents, about, of the sample that the head is picked from.
 SAMPLE = 50_000
+#: Strings that are tokenized at once.
+STEP = 2048
 #: Distinct strings that a task counts, and rows that it gathers, before it hands them on.
 FLUSH = 1 << 17
 #: Tokens over which a document is marked.
@@ -60,7 +62,7 @@ def frequent_strings(docs: DataFrame, split: Splitter, rows: int = HEAD, sample:
     share = sample / max(1, docs.count())
     some = docs.sample(share, seed=1) if share < 1 else docs
     counts = written(counted_strings(some, split), "strings")
-    return [r["piece"] for r in counts.where(head_of(counts, rows)).select("piece").collect()]
+    return counts.where(head_of(counts, rows)).select("piece").toArrow().column(0).to_pylist()
 
 
 def head_of(pieces: DataFrame, rows: int = HEAD) -> Column:
@@ -114,7 +116,8 @@ class Pretokenizer:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(self.source)
-        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # The library's encodings are large: a few at a time.
+        return lambda texts: [len(e.ids) for i in range(0, len(texts), STEP) for e in tokenizer.encode_batch(texts[i : i + STEP], add_special_tokens=False)]
 
 
 def _lazily(make: Callable[[], Splitter]) -> Splitter:
