@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import HEAD, frequent_strings
+from .tokens import HEAD, STEP, frequent_strings
 
 MARK = "▁"
 #: Chunks that a task's own table holds before it starts anew.
@@ -78,7 +78,9 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
     chunks = ChunkModel.chunks
 
     frequent = frequent_strings(docs, chunks, head_rows)
-    head = spark.sparkContext.broadcast(dict(zip(frequent, ChunkModel.entries(model.processor(), frequent))))
+    sp = model.processor()
+    steps = (frequent[i : i + STEP] for i in range(0, len(frequent), STEP))
+    head = spark.sparkContext.broadcast({c: e for step in steps for c, e in zip(step, ChunkModel.entries(sp, step))})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, known = model.processor(), head.value
