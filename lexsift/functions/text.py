@@ -78,8 +78,9 @@ def fold(col: Column) -> Column:
     source, target, several = _latin()
     rare = "".join(several)
     spelled = functools.reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), several.items(), col)
-    plain = F.when(col.rlike(f"[{rare}]"), spelled).otherwise(col)
-    return compact(F.lower(F.translate(plain, source, target)))
+    # ASCII texts, found by their lengths, need no table.
+    plain = F.when(F.octet_length(col) == F.length(col), col).otherwise(F.translate(F.when(col.rlike(f"[{rare}]"), spelled).otherwise(col), source, target))
+    return compact(F.lower(plain))
 
 
 def tokens(folded: Column) -> Column:

@@ -12,7 +12,7 @@ from ..config import DetectionRule, Section
 from ..functions import text as X
 from ..schemas import FINDING_FIELDS, FLAT_COLUMNS, METADATA_FIELDS
 from .findings import ORDER_COLUMNS
-from .sections import section_map
+from .sections import with_section_map
 
 KEYS = ["document_name", "source_path"]
 ENGINES = ("generic", "spacy", "gliner", "regex")
@@ -77,10 +77,10 @@ def flat_findings(documents: DataFrame, findings: DataFrame) -> DataFrame:
 
 def nested_analyses(documents: DataFrame, findings: DataFrame, known: Mapping[str, object], sections: Sequence[Section]) -> DataFrame:
     """One row for each document: name, path, compact text, sections, findings in order, metadata."""
-    both = _join_documents(documents, by_name(findings, lists=True))
+    both = _join_documents(with_section_map(documents, sections), by_name(findings, lists=True))
     text = F.col("extracted_text")
     found = F.coalesce(F.col("findings").cast(_LIST), F.array().cast(_LIST))
-    return both.select(*KEYS, X.compact(text).alias("extracted_text"), section_map(sections, text).alias("sections"), found.alias("findings"), _metadata(known).alias("metadata"))
+    return both.select(*KEYS, X.compact(text).alias("extracted_text"), "sections", found.alias("findings"), _metadata(known).alias("metadata"))
 
 
 def summary(flat: DataFrame) -> DataFrame:

@@ -13,29 +13,31 @@ from ..functions import text as X
 _EDGE = " :-"
 
 
-def between(text: Column, start: str, end: str | None) -> Column:
-    """What a text has between two markers, without regard to case; empty without the first, up to the end without the second.
+def between(one: Column, low: Column, at: Column, start: str, end: str | None) -> Column:
+    """What a compact text has after the marker ``start``, found at ``at`` (from 1; 0: nowhere), up to ``end`` or its own end.
 
-    Markers are looked for in the lower-cased text, so letters whose case folding has
-    another length (like the sharp s) keep their own places here.
+    ``low`` is the text in lower case: markers count in any case.  Letters whose case
+    folding has another length (like the sharp s) keep their own places here.
     """
-    one = X.compact(text)
-    low = F.lower(one)
-    at = F.locate(start.casefold(), low)
     begin = at + len(start)
-    if end:
-        stop = F.position(F.lit(end.casefold()), low, begin)
-        length = F.when(stop > 0, stop - begin).otherwise(F.length(one))
-    else:
-        length = F.length(one)
-    return F.when(at == 0, "").otherwise(F.btrim(F.substring(one, begin, F.greatest(length, F.lit(0))), F.lit(_EDGE)))
+    stop = F.position(F.lit(end.casefold()), low, begin) if end else F.lit(0)
+    length = F.when(stop > 0, stop - begin).otherwise(F.length(one))
+    return F.when(at == 0, "").otherwise(F.btrim(F.substring(one, begin, length), F.lit(_EDGE)))
 
 
-def section_text(text: Column, section: Section) -> Column:
-    """A section's text: the whole text with its lines for the section ``document`` and those without a marker."""
-    if section.section_id == "document" or not section.start_marker:
-        return X.normalize_lines(text)
-    return between(text, section.start_marker, section.end_marker)
+def whole(section: Section) -> bool:
+    return section.section_id == "document" or not section.start_marker
+
+
+def _cut(docs: DataFrame, sections: Sequence[Section], text: str) -> tuple[DataFrame, list[Column]]:
+    """The documents with helping columns, each made once, and the expressions of the sections' texts over them."""
+    marked = [s for s in sections if not whole(s)]
+    docs = docs.withColumn("s_text", F.coalesce(F.col(text), F.lit("")))
+    if marked:
+        docs = docs.withColumn("s_one", X.compact(F.col("s_text"))).withColumn("s_low", F.lower("s_one"))
+        docs = docs.withColumns({f"s_at{i}": F.locate(s.start_marker.casefold(), F.col("s_low")) for i, s in enumerate(sections) if not whole(s)})
+    one, low = F.col("s_one"), F.col("s_low")
+    return docs, [X.normalize_lines(F.col("s_text")) if whole(s) else between(one, low, F.col(f"s_at{i}"), s.start_marker, s.end_marker) for i, s in enumerate(sections)]
 
 
 def effective(sections: Sequence[Section]) -> list[Section]:
@@ -45,15 +47,18 @@ def effective(sections: Sequence[Section]) -> list[Section]:
 
 def with_sections(docs: DataFrame, sections: Sequence[Section], text: str = "extracted_text") -> DataFrame:
     """A row for each document and section, with ``section_ord``, ``section`` and ``section_text`` added; null texts are empty."""
-    one = F.coalesce(F.col(text), F.lit(""))
-    cut = [F.struct(F.lit(i).alias("section_ord"), F.lit(s.section_id).alias("section"), section_text(one, s).alias("section_text")) for i, s in enumerate(effective(sections))]
-    if not cut:
+    sections = effective(sections)
+    if not sections:
         return docs.select("*", F.lit(0).alias("section_ord"), F.lit("").alias("section"), F.lit("").alias("section_text")).where(F.lit(False))
-    return docs.select("*", F.inline(F.array(*cut)))
-
-
-def section_map(sections: Sequence[Section], text: Column) -> Column:
-    """All sections of a document as one map."""
-    one = F.coalesce(text, F.lit(""))
-    pairs = [x for s in effective(sections) for x in (F.lit(s.section_id), section_text(one, s))]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    cut, texts = _cut(docs, sections, text)
+    rows = [F.struct(F.lit(i).alias("section_ord"), F.lit(s.section_id).alias("section"), t.alias("section_text")) for i, (s, t) in enumerate(zip(sections, texts))]
+    # The array is never empty; the outer form spares a test of that, which would make it twice.
+    return cut.select(*docs.columns, F.inline_outer(F.array(*rows)))
+
+
+def with_section_map(docs: DataFrame, sections: Sequence[Section], text: str = "extracted_text") -> DataFrame:
+    """The documents with all their sections as one map, ``sections``."""
+    sections = effective(sections)
+    cut, texts = _cut(docs, sections, text)
+    pairs = [x for s, t in zip(sections, texts) for x in (F.lit(s.section_id), t)]
+    return cut.select(*docs.columns, (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("sections"))

@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scans.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

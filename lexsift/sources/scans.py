@@ -18,6 +18,20 @@ from ..schemas import analysis_ddl
 Extractor = Callable[[bytes], str]
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that has fewer splits than there are cores, dealt out over all of them; others as they are.
+
+    A file of one large row group would otherwise keep all work on one core.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def read_table(path: str) -> DataFrame:
+    """A Parquet table of texts."""
+    return spread(session().read.parquet(path))
+
+
 def pdf_text(content: bytes) -> str:
     """The text of a PDF's pages, joined by line feeds; RuntimeError without the package pypdf."""
     try:
