@@ -26,7 +26,8 @@ def window_hashes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     d = _with_lines(docs.select("doc_id", "text")).where(F.size("l") >= window)
     lines = lambda i: [F.trim(F.col("l")[i + k]) for k in range(window)]
     at = F.transform(F.sequence(F.lit(0), F.size("l") - window), lambda i: F.struct(i.alias("pos"), F.xxhash64(*lines(i)).alias("a"), F.hash(*lines(i)).alias("b")))
-    return d.select("doc_id", "k", F.explode(at).alias("w")).select("doc_id", "k", "w.*")
+    # Not explode: for it the optimizer would test the array's size first, and hash all windows for that once more.
+    return d.select("doc_id", "k", F.explode_outer(at).alias("w")).where("w IS NOT NULL").select("doc_id", "k", "w.*")
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
