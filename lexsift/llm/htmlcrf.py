@@ -185,7 +185,7 @@ def _rest(rng: random.Random, kind: str) -> str:
         return rng.choice(["<aside>{}</aside>", f"<aside {attr}>{{}}</aside>", f"<div {attr}>{{}}</div>", f"<section {attr}>{{}}</section>"]).format(inside)
     if kind == "ad":
         inside = rng.choice([_prose(rng, 3, 12), _prose(rng, 1, 5, False), f"<a href='x'>{_prose(rng, 2, 8)}</a>", prose(4, 20)])
-        return rng.choice([f"<div {attr}>{{}}</div>", f"<p {attr}>{{}}</p>", f"<section {attr}>{{}}</section>", f"<aside {attr}>{{}}</aside>"]).format(inside)
+        return rng.choice([f"<div {attr}>{{}}</div>", f"<div {attr}>{{}}</div>" if "<p>" in inside else f"<p {attr}>{{}}</p>", f"<section {attr}>{{}}</section>", f"<aside {attr}>{{}}</aside>"]).format(inside)
     if kind == "reader":
         one = lambda: f"<div class='comment'><b>{_prose(rng, 1, 2, False)}</b><p>{_prose(rng, 3, 40)}</p></div>"
         item = rng.choice([one, lambda: f"<li><p>{_prose(rng, 3, 40)}</p></li>", lambda: f"<p>{_prose(rng, 3, 40)}</p>", lambda: f"<article class='comment'><p>{_prose(rng, 3, 40)}</p></article>"])
