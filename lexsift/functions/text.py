@@ -88,8 +88,12 @@ def tokens(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(r"(?U)\b[\w']+\b"), F.lit(0))
 
 
+#: The same for a folded text in Python.
+folded_words = re.compile(r"\b[\w']+\b").findall
+
+
 def tokenize(text: str) -> list[str]:
-    return re.findall(r"\b[\w']+\b", fold_text(text) or "")
+    return folded_words(fold_text(text) or "")
 
 
 _STEM = rf"(?m)^(.{{{defaults.SUFFIX_REST + 1},}}?)(?:{'|'.join(defaults.SUFFIXES)})$"

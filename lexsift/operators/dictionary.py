@@ -69,7 +69,7 @@ def root_matches(terms: Column, words: Column, stems: Column, common: Column) ->
     return F.transform(F.filter(first, lambda x: x["w"].isNotNull()), lambda x: _match(x["t"], "root", 1, F.lit("root"), x["w"]))
 
 
-def fuzzy_function(rows: dict[str, list[dict]], split: Callable[[str], list[str]] = X.tokenize) -> Callable[[Column, Column], Column]:
+def fuzzy_function(rows: dict[str, list[dict]], split: Callable[[str], list[str]] = X.folded_words) -> Callable[[Column, Column], Column]:
     """An Arrow function (folded text, section) -> fuzzy matches."""
     terms = {s: [FuzzyTerm(r["rule"], r["order"], r["folded"], r["size"], r["threshold"], -r["fuzzy"]) for r in rs] for s, rs in rows.items()}
     match_type = T.ArrayType(T.StructType([T.StructField("rule", T.IntegerType()), T.StructField("minus_score", T.DoubleType()), T.StructField("minus_term", T.IntegerType()), T.StructField("detector", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("matched", T.StringType())]))

@@ -84,16 +84,19 @@ def nested_analyses(documents: DataFrame, findings: DataFrame, known: Mapping[st
 
 
 def summary(flat: DataFrame) -> DataFrame:
-    """document_count, documents_with_findings, total_findings, and finding_codes as a map: two aggregates, few codes to join."""
-    docs = flat.groupBy(*KEYS, "finding_count").agg(F.count("*").alias("n"))
-    # A document's rows are as many as its findings, or one; documents of one name count each.
-    each = F.when(F.col("finding_count") > 0, F.floor(F.col("n") / F.col("finding_count"))).otherwise(F.col("n"))
+    """document_count, documents_with_findings, total_findings, and finding_codes as a map.
+
+    Both halves start from one aggregate by document and code, whose shuffle they share.
+    """
+    base = flat.groupBy(*KEYS, "finding_count", "code").agg(F.count("*").alias("n"))
+    docs = base.groupBy(*KEYS, "finding_count").agg(F.sum("n").alias("n"))
+    found = F.when(F.col("finding_count") > 0, F.col("n"))
     head = docs.agg(
-        F.coalesce(F.sum(each), F.lit(0)).alias("document_count"),
-        F.coalesce(F.sum(F.when(F.col("finding_count") > 0, each)), F.lit(0)).alias("documents_with_findings"),
-        F.coalesce(F.sum(F.when(F.col("finding_count") > 0, F.col("n"))), F.lit(0)).alias("total_findings"),
+        F.count("*").alias("document_count"),
+        F.count(found).alias("documents_with_findings"),
+        F.coalesce(F.sum(found), F.lit(0)).alias("total_findings"),
     )
-    codes = code_counts(flat).agg(F.map_from_entries(F.collect_list(F.struct("code", "count"))).alias("finding_codes"))
+    codes = base.where("code <> ''").groupBy("code").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("finding_codes"))
     return head.withColumn("one", F.lit(1)).join(codes.withColumn("one", F.lit(1)), "one").drop("one")
 
 
