@@ -2,9 +2,9 @@
 
 Audio is cut into overlapping frames whose spectra are folded into twelve pitch
 classes.  Filters compare areas of that image through its integral image; their
-outcomes, two bits each, are packed into a 32-bit integer for each frame.  Shared
-integers vote for an offset between two recordings; the offset with most votes is
-taken, and the bit errors over the overlap decide.
+outcomes, two bits each, are packed into a 32-bit integer for each frame.  Integers
+that agree in three of their four bytes vote for an offset between two recordings; the
+offset with most votes is taken, and the bit errors over the overlap decide.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ RATE, FRAME, HOP, SPAN = 11025, 4096, 1365, 16
 FILTERS, LOWEST_HZ, HIGHEST_HZ = 16, 28.0, 3520.0
 #: Thresholds of a filter's log ratio, and the 2-bit Gray code of the four levels they make.
 LEVELS, GRAY = (-0.25, 0.0, 0.25), np.array([0, 1, 3, 2], dtype=np.uint32)
-#: An alignment needs so many shared integers at one offset, so many frames of overlap, and at most this share of wrong bits.
+#: Parts of an integer that a key leaves out, one at a time: integers meet if their wrong bits lie in one part.
+KEY_MASKS = tuple(0xFFFFFFFF ^ (0xFF << 8 * k) for k in range(4))
+#: An alignment needs so many shared keys at one offset, so many frames of overlap, and at most this share of wrong bits.
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 3, 16, 0.2
 #: Rows whose id is divisible by this are the queries of a search.
 QUERY_STEP = 100
@@ -121,6 +123,10 @@ def pcm16(data: bytes | None) -> np.ndarray:
     return np.frombuffer((data or b"")[: len(data or b"") // 2 * 2], dtype="<i2") / 32768.0
 
 
+def _unsigned(code: Column) -> Column:
+    return code.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _overlap(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
     """The parts of two code arrays that meet if b begins ``offset`` frames after a."""
     n = F.least(F.size(a) - F.greatest(offset, F.lit(0)), F.size(b) - F.greatest(-offset, F.lit(0)))
@@ -129,15 +135,20 @@ def _overlap(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
 
 def aligned(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """(class_id, other_id, offset, votes, overlap, bit_error): the classes (class_id, codes) that align with each query class."""
-    at = lambda df, c: df.select(F.col("class_id").alias(c), F.posexplode("codes").alias(f"{c}_at", "code"))
-    met = at(queries, "q").join(at(classes, "c"), "code").where("q <> c")
+    def at(df: DataFrame, c: str) -> DataFrame:
+        codes = df.select(F.col("class_id").alias(c), F.posexplode("codes").alias(f"{c}_at", "code"))
+        keys = [F.struct(F.lit(k).alias("k"), _unsigned(F.col("code")).bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(KEY_MASKS)]
+        return codes.select(c, f"{c}_at", F.inline(F.array(*keys)))
+
+    met = at(queries, "q").join(at(classes, "c"), ["k", "v"]).where("q <> c")
     votes = met.groupBy("q", "c", (F.col("q_at") - F.col("c_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
     best = votes.groupBy("q", "c").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), "offset")).alias("b"))
     a, b = queries.select(F.col("class_id").alias("q"), F.col("codes").alias("a")), classes.select(F.col("class_id").alias("c"), F.col("codes").alias("b"))
     both = best.withColumnRenamed("b", "best").join(a, "q").join(b, "c")
     x, y = _overlap(F.col("a"), F.col("b"), F.col("best.offset"))
     met = both.select("q", "c", "best.*", x.alias("x"), y.alias("y"))
-    wrong = F.aggregate(F.zip_with("x", "y", lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, v: s + v)
+    # bit_count takes 64 bits, of which a negative integer has 32 too many.
+    wrong = F.aggregate(F.zip_with("x", "y", lambda i, j: F.bit_count(_unsigned(i.bitwiseXOR(j)))), F.lit(0), lambda s, v: s + v)
     rated = met.select(F.col("q").alias("class_id"), F.col("c").alias("other_id"), "offset", "votes", F.size("x").alias("overlap"), (wrong / (32.0 * F.greatest(F.size("x"), F.lit(1)))).alias("bit_error"))
     return rated.where((F.col("overlap") >= MIN_OVERLAP) & (F.col("bit_error") <= MAX_ERROR))
 

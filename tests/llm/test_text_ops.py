@@ -308,6 +308,33 @@ def test_shifted_and_noisy_audio_aligns(spark):
     assert (match.class_id, match.other_id, match.offset) == (100, 4, -5) and match.bit_error < 0.1
 
 
+def best_alignment(a, b):
+    """Least share of wrong bits over all offsets with enough overlap."""
+    best = 1.0
+    for off in range(-len(b) + audio.MIN_OVERLAP, len(a) - audio.MIN_OVERLAP + 1):
+        x, y = a[max(off, 0) :], b[max(-off, 0) :]
+        n = min(len(x), len(y))
+        if n >= audio.MIN_OVERLAP:
+            best = min(best, np.bitwise_count(x[:n] ^ y[:n]).mean() / 32)
+    return best
+
+
+def test_recall_against_all_alignments(spark):
+    rng = np.random.default_rng(5)
+    base = [rng.normal(0, 0.15, 64) for _ in range(18)]
+    sounds = [audio.melody(b.tolist()) for b in base]
+    for b in base[:10]:
+        for noise, shift, change in ((0.02, 0, 0), (0.1, 3, 0), (0.3, 7, 0), (0.05, 2, 0.01), (0.05, 11, 0.03), (0.6, 4, 0)):
+            s = audio.melody((b + rng.normal(0, change, 64)).tolist())
+            s = np.concatenate([rng.normal(0, 0.01, shift * audio.HOP + int(rng.integers(0, audio.HOP // 4))), s])
+            sounds.append(s + rng.normal(0, noise, len(s)))
+    prints = list({p.tobytes(): p for p in map(audio.fingerprint, sounds)}.values())  # equal ones are one class
+    want = {(i, j) for i, a in enumerate(prints) for j, b in enumerate(prints) if i != j and best_alignment(a, b) <= audio.MAX_ERROR}
+    rows = [(i, p.view(np.int32).tolist()) for i, p in enumerate(prints)]
+    got = {(r.class_id, r.other_id) for r in audio.search(spark.createDataFrame(rows, "rec_id long, codes array<int>"), step=1).where("kind = 'match'").collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_chroma_finds_the_pitch_class():
     t = np.arange(audio.RATE * 2) / audio.RATE
     assert (audio.chroma(np.sin(2 * np.pi * 440 * t)).argmax(axis=1) == 0).all()
