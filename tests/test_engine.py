@@ -366,3 +366,20 @@ def test_plans_have_no_shuffle_before_the_findings(spark):
     a = corpus(spark)
     plan = a.findings._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_branch_reports(spark):
+    a = corpus(spark)
+    cases = a.documents.select(F.col("document_name").alias("case_id"), F.lit("full_text").alias("control_family"))
+    rows = report.case_rows(cases, a.findings)
+    summary = {r.detection_engine: r for r in report.branch_summary(rows).collect()}
+    assert summary["none"].case_count == 1 and summary["none"].undetected_count == 1 and summary["regex"].detected_count == 1
+    profile = report.branch_profile(rows).where("detection_engine = 'generic'").collect()
+    assert sum(r["count"] for r in profile) == a.findings.where("detection_engine = 'generic'").count()
+    pivot = {r.case_id: r.asDict() for r in report.branch_pivot(report.case_comparison(rows)).collect()}
+    assert pivot["b"] == {"case_id": "b", "generic": 0, "spacy": 0, "gliner": 0, "regex": 0} and pivot["a"]["regex"] == 1
+    assert {r.predicted_label for r in report.label_profile(rows).where("detection_engine = 'regex'").collect()} == {"Adresse email"}
+    (entity,) = report.entity_summary(a.findings.where("detection_engine = 'regex'")).collect()
+    assert (entity.predicted_key, entity["count"], entity.matched_terms) == ("EMAIL_ADDRESS", 1, "a@b.fr")
+    profiles = report.score_profile(report.with_flags(a.flat()).where("is_article9"), "category").first()
+    assert (profiles["count"], profiles.max_score) == (1, 0.9)
