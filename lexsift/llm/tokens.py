@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .common import table, written
 
 #: Distinct strings that are broadcast, and UTF-8 bytes of each, at most: at most 16 MiB of text.
 HEAD, HEAD_BYTES = 1 << 18, 64
-#: Documents, about, of the sample that the head is picked from.
+#: Documents, about, of the partitions that the head is picked from.
 SAMPLE = 50_000
 #: Strings that are tokenized at once.
 STEP = 2048
@@ -35,10 +36,17 @@ LIMIT = 512
 Splitter = Callable[[str], list[str]]
 
 
-def counted_strings(docs: DataFrame, split: Splitter) -> DataFrame:
-    """(piece, n): how often each string occurs that ``split`` cuts from the texts; tasks add up before the shuffle."""
+def counted_strings(docs: DataFrame, split: Splitter, share: float = 1.0) -> DataFrame:
+    """(piece, n): how often each string occurs that ``split`` cuts from the texts of about a share of the partitions.
+
+    The first partition always counts.  Tasks add up before the shuffle; those of the
+    other partitions end before they read on, so a small share doesn't scan the table.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition = TaskContext.get().partitionId()
+        if partition and zlib.crc32(str(partition).encode()) >= share * 2**32:
+            return
         seen: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -58,10 +66,8 @@ def counted_strings(docs: DataFrame, split: Splitter) -> DataFrame:
 
 
 def frequent_strings(docs: DataFrame, split: Splitter, rows: int = HEAD, sample: int = SAMPLE) -> list[str]:
-    """At most ``rows`` strings that ``split`` cuts often from a sample of the texts."""
-    share = sample / max(1, docs.count())
-    some = docs.sample(share, seed=1) if share < 1 else docs
-    counts = written(counted_strings(some, split), "strings")
+    """At most ``rows`` strings that ``split`` cuts often from the texts of some partitions with about ``sample`` documents."""
+    counts = written(counted_strings(docs, split, sample / max(1, docs.count())), "strings")
     return counts.where(head_of(counts, rows)).select("piece").toArrow().column(0).to_pylist()
 
 

@@ -34,6 +34,16 @@ def test_token_counts_equal_the_library(spark, head):
     assert tokens.token_counts(df.limit(0), path).collect() == []
 
 
+def test_head_from_few_partitions(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('word', id % 7, ' only', id) AS text").repartition(40)
+    seen = {r.piece: r.n for r in tokens.counted_strings(df, str.split, 0.1).collect()}
+    assert 100 <= sum(n for p, n in seen.items() if p.startswith("word")) < 1500
+    head = tokens.frequent_strings(df, str.split, rows=7, sample=400)
+    assert sorted(head) == [f"word{i}" for i in range(7)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.token_counts(df, path, head_rows=7).count() == 4000
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         tokens.Pretokenizer(public_tokenizers.path("word_bpe_49k.json"))
