@@ -241,8 +241,11 @@ def train(docs: DataFrame) -> dict[str, KneserNey]:
     if counts.count() > MODEL_ROWS:  # too large to hand out: one order less is bounded by the number of symbols
         order -= 1
         counts = counts.groupBy("lang", F.expr(f"gram & {(1 << (BITS * order)) - 1}").alias("gram")).agg(F.sum("n").alias("n"))
-    pdf = counts.toPandas()
-    return {lang: KneserNey(rows["gram"].to_numpy(), rows["n"].to_numpy(), order) for lang, rows in pdf.groupby("lang")}
+    models = {}
+    for (lang,) in counts.select("lang").distinct().collect():  # LANGUAGES + 1 at most; two numbers a row come to the driver
+        rows = counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        models[lang] = KneserNey(rows["gram"].to_numpy(), rows["n"].to_numpy(), order)
+    return models
 
 
 def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
