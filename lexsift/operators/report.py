@@ -65,6 +65,11 @@ def document_metadata(documents: DataFrame, findings: DataFrame, known: Mapping[
     return _join_documents(documents.select(*KEYS), by_name(findings)).select(*KEYS, _metadata(known).alias("metadata"))
 
 
+def with_errors(metadata: DataFrame) -> DataFrame:
+    """Documents for which a branch could not run."""
+    return metadata.where(F.size("metadata.branch_errors") > 0)
+
+
 def flat_findings(documents: DataFrame, findings: DataFrame) -> DataFrame:
     """One row for each finding with its document's number of findings; one of nulls for a document without any.
 

@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..operators.dictionary import detect_by_dictionary
 from ..operators.entities import EntityProvider, ModelEntities, clean_labels, detect_entities
 from ..operators.findings import ORDER_COLUMNS
-from ..operators.identifiers import detect_identifiers
+from ..operators.identifiers import Pattern, detect_identifiers
 from ..operators.linguistic import LemmaProvider, ModelLemmas, detect_by_lemmas
 from ..operators.report import document_metadata, flat_findings, nested_analyses
 from ..operators.sections import effective, with_sections
@@ -38,6 +38,7 @@ class Options:
     gliner_local_files_only: bool = False
     lemma_provider: LemmaProvider | None = None
     entity_provider: EntityProvider | None = None
+    identifier_patterns: tuple[Pattern, ...] = defaults.IDENTIFIER_PATTERNS
     exact_fold: bool = True
 
 
@@ -140,7 +141,7 @@ def analyze(
         else:
             parts.append(detect_entities(cut, entities, o.gliner_labels, o.gliner_threshold))
     if "regex" in wanted:
-        parts.append(detect_identifiers(cut, names))
+        parts.append(detect_identifiers(cut, names, o.identifier_patterns))
     found = functools.reduce(DataFrame.unionByName, parts) if parts else no_findings(documents)
     return Analysis(documents, found, rules, sections, whitelist, o, errors)
 

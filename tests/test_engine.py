@@ -221,9 +221,15 @@ def test_missing_models_leave_the_other_branches_alone(spark):
     assert {r.detection_engine for r in a.findings.collect()} == {"generic"}
     m = a.metadata().first().metadata
     assert set(m.branch_errors) == {"spacy", "gliner"} and m.gliner_labels == ["maladie"] and m.has_findings
+    assert report.with_errors(a.metadata()).count() == 1 and report.with_errors(corpus(spark).metadata()).count() == 0
     assert lexsift.analyze_text("f", "p", "x", enabled_branches=[]).findings.collect() == []
 
 
+def test_own_patterns(spark):
+    a = lexsift.analyze_text("f", "p", "Dossier AB-1234 et ab-77.", enabled_branches=["regex"], identifier_patterns=(("CASE_NUMBER", "Numero", r"(?i)\b[a-z]{2}-\d{4}\b", 0.7),))
+    assert [(r.code, r.matched_term, r.score) for r in a.findings.collect()] == [("regex_case_number", "AB-1234", 0.7)]
+
+
 def test_lemmas(spark):
     rules = [r for r in config.load_rules() if "conseil" in r.section_scope]
     lemmas = linguistic.TableLemmas({"fonce": "foncer", "garanties": "garantie", "protegees": "protege"})
