@@ -25,8 +25,8 @@ from .tokens import HEAD, STEP, frequent_strings
 MARK = "▁"
 #: Chunks that a task's own table holds before it starts anew.
 TABLE = 1 << 18
-#: A chunk's entry: the number of its ids, the ids in decimal joined by commas, what they decode to.
-Entry = tuple[int, str, str]
+#: A chunk's entry: the number of its ids, the ids in decimal joined by commas, what they decode to (None: the chunk itself).
+Entry = tuple[int, str, str | None]
 
 
 class ChunkModel:
@@ -53,17 +53,21 @@ class ChunkModel:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """Chunks of a text, markers as spaces, each with the leading one."""
-        return re.findall(" +[^ ]*", f" {text.replace(MARK, ' ')}") if text else []
+        """Chunks of a text, markers as spaces, each without its first one: that is what stands between single spaces."""
+        if not text:
+            return []
+        text = text.replace(MARK, " ")
+        parts = text.split(" ")
+        return parts if "" not in parts else [c[1:] for c in re.findall(" +[^ ]*", f" {text}")]
 
     @staticmethod
     def entries(sp, chunks: list[str]) -> list[Entry]:
         """Each chunk's entry; the library itself puts the first marker in front."""
-        encoded = sp.encode([c[1:] for c in chunks], num_threads=1)
+        encoded = sp.encode(chunks, num_threads=1)
         decoded = sp.decode(encoded, num_threads=1) if encoded else []
-        # A chunk of the marker alone is the text "", which the library leaves without ids.
-        lone = sp.piece_to_id(MARK)
-        return [(len(i), ",".join(map(str, i)), " " + d) if c != " " else (1, str(lone), " ") for c, i, d in zip(chunks, encoded, decoded)]
+        # The marker alone is the text "", which the library leaves without ids.
+        lone = (1, str(sp.piece_to_id(MARK)), None)
+        return [(len(i), ",".join(map(str, i)), None if d == c else d) if c else lone for c, i, d in zip(chunks, encoded, decoded)]
 
 
 def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_ids: bool = False) -> DataFrame:
@@ -83,26 +87,22 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
     head = spark.sparkContext.broadcast({c: e for step in steps for c, e in zip(step, ChunkModel.entries(sp, step))})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, known = model.processor(), head.value
-        own: dict[str, Entry] = {}
-
-        def entry(c: str) -> Entry:
-            return known.get(c) or own[c]
-
+        sp, own = model.processor(), dict(head.value)
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
             for text in batch.column(1).to_pylist():
                 parts = chunks(text or "")
-                new = [c for c in dict.fromkeys(parts) if c not in known and c not in own]
-                if new:
-                    if len(own) > TABLE:
-                        own.clear()
-                        new = [c for c in dict.fromkeys(parts) if c not in known]
+                found = list(map(own.get, parts))
+                if None in found:
+                    if len(own) > TABLE + len(head.value):
+                        own = dict(head.value)
+                    new = [c for c in dict.fromkeys(parts) if c not in own]
                     own.update(zip(new, ChunkModel.entries(sp, new)))
-                found = [entry(c) for c in parts]
-                ids = ",".join([e[1] for e in found])
-                decoded = "".join([e[2] for e in found])[1:]
-                out[0].append(sum([e[0] for e in found]))
+                    found = list(map(own.__getitem__, parts))
+                counts, ids, texts = zip(*found) if found else ((), (), ())
+                ids = ",".join(ids)
+                decoded = " ".join([c if d is None else d for c, d in zip(parts, texts)] if texts.count(None) < len(texts) else parts)
+                out[0].append(sum(counts))
                 out[1].append(hashlib.sha256(ids.encode()).hexdigest())
                 out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                 out[3].append(list(map(int, ids.split(","))) if with_ids and ids else [])
