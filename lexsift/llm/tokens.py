@@ -10,6 +10,7 @@ sample of documents; it decides which way a pre-token takes, never what it count
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -27,9 +28,9 @@ HEAD, HEAD_BYTES = 1 << 18, 64
 #: Documents, about, of the partitions that the head is picked from.
 SAMPLE = 50_000
 #: Strings that are tokenized at once.
-STEP = 2048
+STEP = 512
 #: Distinct strings that a task counts, and rows that it gathers, before it hands them on.
-FLUSH = 1 << 17
+FLUSH, ROWS = 1 << 15, 1 << 14
 #: Tokens over which a document is marked.
 LIMIT = 512
 
@@ -119,6 +120,8 @@ class Pretokenizer:
         return lambda text: len(count(text)) if count and any(s in text for s in special) else 0
 
     def counter(self) -> Callable[[list[str]], list[int]]:
+        # Tasks are parallel already; the library's own threads would each keep memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(self.source)
@@ -178,7 +181,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, head_
                         total += k * n
                 for x, value in zip(rows, (doc_id, key, None, total, len(raw))):
                     x.append(value)
-                if len(rows[0]) > FLUSH:
+                if len(rows[0]) > ROWS:
                     yield out()
             yield out()
 
