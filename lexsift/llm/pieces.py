@@ -24,7 +24,7 @@ from .tokens import HEAD, STEP, frequent_strings
 
 MARK = "▁"
 #: Chunks that a task's own table holds before it starts anew.
-TABLE = 1 << 18
+TABLE = 1 << 16
 #: A chunk's entry: the number of its ids, the ids in decimal joined by commas, what they decode to (None: the chunk itself).
 Entry = tuple[int, str, str | None]
 
