@@ -394,6 +394,42 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter((r.doc_id, r.n_tokens) for r in run) == Counter((r.doc_id, len(sp.encode(r.text))) for r in mixed)
 
 
+def test_near_dedup_equals_brute_force_jaccard(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(500)]
+    notice = " ".join(rng.choices(vocabulary, k=30))
+    texts = [None, "", " \t", "a b", "A  b", "a c"]
+    for _ in range(40):
+        base = rng.choices(vocabulary, k=rng.choice([8, 30, 60, 120, 400]))
+        for _ in range(rng.choice([1, 2, 4])):
+            text = list(base)
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(len(text))] = "zz"
+            texts.append(" ".join(text) + rng.choice(["", "", "\n" + notice]))
+    hot = rng.choices(vocabulary, k=100)
+    texts += [" ".join(hot[:i] + ["yy"] + hot[i:]) for i in range(0, 100, 3)]
+    rng.shuffle(texts)
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {""}
+
+    sets = [grams(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for _ in range(len(sets)):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    assert sum(sets[i] != sets[j] for i, j in pairs) > 100
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    for limit in (1 << 18, 5):
+        monkeypatch.setattr("lexsift.llm.neartext.FREQUENT", limit)
+        kept = corpus_pipeline.near_dedup(spark, df, "")
+        assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
