@@ -1,10 +1,10 @@
 """Quality rules with n-gram perplexity.
 
-Character 4-grams are counted by Spark over all documents, for each language; the
+Character 4-grams are counted by Spark over all different texts, for each language; the
 counts give a modified Kneser-Ney model (Chen and Goodman 1998), kept as sorted
 arrays of n-gram hashes with log probabilities.  A document's perplexity is taken
 per word.  Each language has a lower and an upper band around the median of its
-documents, wider for short ones; documents outside of the bands are rejected.
+different texts, wider for short ones; documents outside of the bands are rejected.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ LANGUAGES, POOLED = 32, "*"
 MODEL_ROWS = 1 << 23
 #: Width of the bands in standard deviations, and the rules' limits.
 BAND, MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 6.0, 20, 30, 8
+#: Least standard deviation of a language's long texts: few or equal texts say nothing of the spread.
+LEAST_SPREAD = 0.01
 #: The characters that count as symbols.
 SYMBOL_CHARS = "#*$%&|<>"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -251,7 +253,8 @@ def train(docs: DataFrame) -> dict[str, KneserNey]:
 def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
     """Base counts, perplexity and verdict of every document (doc_id, text, lang); see ``quality``.  Has ``k``, a hash of the text."""
     docs = _language(docs)
-    models = docs.sparkSession.sparkContext.broadcast(train(docs))
+    once = docs.select("lang", "text", F.xxhash64("text").alias("k")).dropDuplicates(["lang", "k"])  # copies would make their text too likely
+    models = docs.sparkSession.sparkContext.broadcast(train(once))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = models.value
@@ -270,8 +273,8 @@ def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).mapInArrow(score, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     scored = written(scored.withColumn("base_failed", failed).withColumn("log_ppl", F.log(F.try_divide("nll", "n_words"))), "scored")
-    # Centre and spread of a language: medians over all documents that pass the rules.
-    passed = scored.where("NOT base_failed AND nll > 0")
+    # Centre and spread of a language: medians over the different texts that pass the rules, so copies count once.
+    passed = scored.where("NOT base_failed AND nll > 0").groupBy("lang", "k").agg(F.max("log_ppl").alias("log_ppl"), F.max("n_words").alias("n_words"))
     centre = passed.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("centre"))
     off = F.col("log_ppl") - F.col("centre")
     spread = passed.join(F.broadcast(centre), "lang").groupBy("lang", "centre").agg(
@@ -279,7 +282,7 @@ def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
         F.percentile_approx(off * off * F.col("n_words"), 0.5, 10_000).alias("by_length"),
     )
     # Variance of a document of n words: half the spread of all, and what shrinks with length (2.198: median to mean of squares).
-    bands = spread.select(F.col("lang").alias("b_lang"), "centre", (F.col("mad") * 1.4826 / 2).alias("floor"), (F.col("by_length") * 2.198).alias("by_length"))
+    bands = spread.select(F.col("lang").alias("b_lang"), "centre", F.greatest(F.col("mad") * 1.4826 / 2, F.lit(LEAST_SPREAD)).alias("floor"), (F.col("by_length") * 2.198).alias("by_length"))
     sd = F.sqrt(F.try_divide("by_length", "n_words") + F.col("floor") * F.col("floor"))
     both = scored.join(F.broadcast(bands), F.col("lang") == F.col("b_lang"), "left")  # LANGUAGES + 1 rows at most
     low, high = F.exp(F.col("centre") - band * sd), F.exp(F.col("centre") + band * sd)

@@ -288,6 +288,15 @@ def test_bands_keep_clean_documents(spark):
     assert quality.keep_good(df).columns == df.columns
 
 
+def test_copies_leave_the_bands_as_they_are(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng), "en", "s", 0) for i in range(150)] + [(i, prose(rng), "fr", "s", 0) for i in range(1000, 1150)]
+    copies = [(2000 + i, rows[7][1], "en", "s", 0) for i in range(400)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows + copies, DOCS)).collect()}
+    assert sum(got[i].kept for i in range(150)) >= 148 and sum(got[i].kept for i in range(1000, 1150)) >= 148
+    assert all(got[7].lower < got[7].word_nll < got[7].upper and got[2000 + i].kept for i in range(400))
+
+
 def test_pooled_languages(spark, monkeypatch):
     monkeypatch.setattr(quality, "LANGUAGES", 1)
     rng = random.Random(9)
