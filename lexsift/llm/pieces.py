@@ -81,10 +81,17 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
     model = ChunkModel(model_file)
     chunks = ChunkModel.chunks
 
-    frequent = frequent_strings(docs, chunks, head_rows)
-    sp = model.processor()
-    steps = (frequent[i : i + STEP] for i in range(0, len(frequent), STEP))
-    head = spark.sparkContext.broadcast({c: e for step in steps for c, e in zip(step, ChunkModel.entries(sp, step))})
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = model.processor()
+        for b in batches:
+            parts = b.column(0).to_pylist()
+            for i in range(0, len(parts), STEP):
+                n, ids, texts = zip(*ChunkModel.entries(sp, parts[i : i + STEP]))
+                yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + STEP], pa.string()), pa.array(n, pa.int32()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["chunk", "n", "ids", "decoded"])
+
+    found = frequent_strings(docs, chunks, head_rows).mapInArrow(segment, "chunk string, n int, ids string, decoded string").toArrow()  # HEAD rows at most
+    columns = [found[c].to_pylist() for c in found.column_names]
+    head = spark.sparkContext.broadcast(dict(zip(columns[0], zip(*columns[1:]))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, own = model.processor(), dict(head.value)

@@ -4,28 +4,29 @@ Documents turn into pre-token frequencies.  Each distinct pre-token is run throu
 tokenizer once, which gives a table (pre-token, pieces), and frequencies meet the
 table in two ways: a head of frequent pre-tokens, of bounded size, is broadcast; all
 others join by shuffle, where no key is frequent any more.  The head is picked from a
-sample of documents; it decides which way a pre-token takes, never what it counts.
+sample of rows of all partitions; it decides which way a pre-token takes, never what
+it counts.  Pre-tokens that are too long to be keys are measured where they stand.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Distinct strings that are broadcast, and UTF-8 bytes of each, at most: at most 16 MiB of text.
-HEAD, HEAD_BYTES = 1 << 18, 64
-#: Documents, about, of the partitions that the head is picked from.
+#: Distinct strings that are broadcast, and their UTF-8 bytes together, at most.
+HEAD, HEAD_BYTES = 1 << 18, 1 << 24
+#: Bytes over which a string is no key: a task works it out itself, each time it meets it.
+KEY_BYTES = 256
+#: Rows, about, that the head is picked from.
 SAMPLE = 50_000
 #: Strings that are tokenized at once.
 STEP = 512
@@ -37,17 +38,14 @@ LIMIT = 512
 Splitter = Callable[[str], list[str]]
 
 
-def counted_strings(docs: DataFrame, split: Splitter, share: float = 1.0) -> DataFrame:
-    """(piece, n): how often each string occurs that ``split`` cuts from the texts of about a share of the partitions.
+def is_key(string: str) -> bool:
+    return len(string) <= KEY_BYTES // 4 or len(string.encode()) <= KEY_BYTES
 
-    The first partition always counts.  Tasks add up before the shuffle; those of the
-    other partitions end before they read on, so a small share doesn't scan the table.
-    """
+
+def counted_strings(docs: DataFrame, split: Splitter) -> DataFrame:
+    """(piece, n): how often each string occurs that ``split`` cuts from the texts, those aside that are no keys.  Tasks add up before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition = TaskContext.get().partitionId()
-        if partition and zlib.crc32(str(partition).encode()) >= share * 2**32:
-            return
         seen: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -56,7 +54,7 @@ def counted_strings(docs: DataFrame, split: Splitter, share: float = 1.0) -> Dat
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(split(text))
+                    seen.update(filter(is_key, split(text)))
                     if len(seen) > FLUSH:
                         yield out()
                         seen.clear()
@@ -66,25 +64,27 @@ def counted_strings(docs: DataFrame, split: Splitter, share: float = 1.0) -> Dat
     return docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def frequent_strings(docs: DataFrame, split: Splitter, rows: int = HEAD, sample: int = SAMPLE) -> list[str]:
-    """At most ``rows`` strings that ``split`` cuts often from the texts of some partitions with about ``sample`` documents."""
-    counts = written(counted_strings(docs, split, sample / max(1, docs.count())), "strings")
-    return counts.where(head_of(counts, rows)).select("piece").toArrow().column(0).to_pylist()
+def frequent_strings(docs: DataFrame, split: Splitter, rows: int = HEAD, sample: int = SAMPLE) -> DataFrame:
+    """(piece): at most ``rows`` strings that ``split`` cuts often from the texts of about ``sample`` rows, drawn from all partitions."""
+    step = max(1, docs.count() // max(1, sample))
+    if step > 1:
+        docs = docs.where(F.pmod(F.xxhash64(F.lit("head"), F.monotonically_increasing_id()), F.lit(step)) == 0)
+    counts = written(counted_strings(docs, split), "strings")
+    return counts.where(head_of(counts, rows)).select("piece")
 
 
-def head_of(pieces: DataFrame, rows: int = HEAD) -> Column:
-    """The condition that picks the most frequent strings of (piece, n), at most ``rows`` short ones: n at or over a threshold."""
-    fits = F.octet_length("piece") <= HEAD_BYTES
-    # Counts by level (16 for each doubling) are a few hundred numbers, whatever the corpus.
+def head_of(pieces: DataFrame, rows: int = HEAD, most_bytes: int = HEAD_BYTES) -> Column:
+    """The condition that picks the most frequent strings of (piece, n), within both bounds: n at or over a threshold."""
+    # Sums by level (16 for each doubling) are a few hundred numbers, whatever the corpus.
     level = F.floor(F.log2("n") * 16)
-    sums = sorted(((r["level"], r["k"], r["least"]) for r in pieces.where(fits).groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect()), reverse=True)
-    total, threshold = 0, None
-    for _, k, least in sums:
-        total += k
-        if total > rows:
+    sums = pieces.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.sum(F.octet_length("piece")).alias("size"), F.min("n").alias("least"))
+    total, size, threshold = 0, 0, None
+    for r in sorted(sums.collect(), key=lambda r: -r["level"]):
+        total, size = total + r["k"], size + r["size"]
+        if total > rows or size > most_bytes:
             break
-        threshold = least
-    return fits & (F.col("n") >= threshold) if threshold is not None else F.lit(False)
+        threshold = r["least"]
+    return F.col("n") >= threshold if threshold is not None else F.lit(False)
 
 
 class Pretokenizer:
@@ -146,61 +146,62 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, head_
 
     Counts equal the library's for the file, without begin and end tokens; the file's
     added tokens count one each where a text holds them.  A null text is empty (0 bytes,
-    0 tokens).  Rows that repeat each get a row; an empty table gives an empty result.
-    Other columns are ignored.
+    0 tokens).  Every row gets its own result, whether or not doc_ids or texts repeat; an
+    empty table gives an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     pre = Pretokenizer(tokenizer_file)
-    frequent = frequent_strings(docs, _lazily(pre.splitter), head_rows)
-    head = spark.sparkContext.broadcast(dict(zip(frequent, pre.counter()(frequent))))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = pre.counter()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(0).to_pylist()), pa.int64())], ["piece", "n_pieces"])
+
+    measured = frequent_strings(docs, _lazily(pre.splitter), head_rows).mapInArrow(measure, "piece string, n_pieces long").toArrow()  # HEAD rows at most
+    head = spark.sparkContext.broadcast(dict(zip(measured["piece"].to_pylist(), measured["n_pieces"].to_pylist())))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For a document one row without a piece (what the head gives) and one for each other distinct pre-token."""
+        """For a row of documents one without a piece (doc_id, bytes and what the head gives) and one for each other distinct pre-token."""
         split, specials, known = pre.splitter(), pre.specials(), head.value
-        rows: tuple[list, ...] = ([], [], [], [], [])
+        count = pre.counter()
+        names = ["row", "piece", "n", "doc_id", "n_bytes"]
+        rows: tuple[list, ...] = tuple([] for _ in names)
 
         def out() -> pa.RecordBatch:
-            arrays = [pa.array(x, pa.string() if k == 2 else pa.int64()) for k, x in enumerate(rows)]
+            arrays = [pa.array(x, pa.string() if k == 1 else pa.int64()) for k, x in enumerate(rows)]
             for x in rows:
                 x.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "k", "piece", "n", "n_bytes"])
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
-                raw = text.encode()
-                key = zlib.crc32(raw)
                 total = specials(text)
                 for name, n in Counter(split(text)).items():
                     k = known.get(name)
+                    if k is None and not is_key(name):
+                        k = count([name])[0]
                     if k is None:
-                        for x, value in zip(rows, (doc_id, key, name, n, None)):
+                        for x, value in zip(rows, (row, name, n, None, None)):
                             x.append(value)
                     else:
                         total += k * n
-                for x, value in zip(rows, (doc_id, key, None, total, len(raw))):
+                for x, value in zip(rows, (row, None, total, doc_id, len(text.encode()))):
                     x.append(value)
                 if len(rows[0]) > ROWS:
                     yield out()
             yield out()
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = pre.counter()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(0).to_pylist()), pa.int64())], ["piece", "n_pieces"])
-
-    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frequencies, "doc_id long, k long, piece string, n long, n_bytes long"), "frequencies")
-    others = found.where("piece IS NOT NULL")
+    # Rows are numbered as they are read; the numbers are written with what is counted, so they stay as they are.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = written(numbered.mapInArrow(frequencies, "row long, piece string, n long, doc_id long, n_bytes long"), "frequencies")
+    others = found.where("piece IS NOT NULL").select("row", "piece", "n")
     pieces = others.select("piece").distinct().mapInArrow(measure, "piece string, n_pieces long")
-    rare = others.select("doc_id", "k", "piece", "n").join(pieces, "piece")
-    parts = rare.select("doc_id", "k", (F.col("n") * F.col("n_pieces")).alias("n"), F.lit(0).alias("copies"), F.lit(None).cast("long").alias("n_bytes"))
-    base = found.where("piece IS NULL").select("doc_id", "k", "n", F.lit(1).alias("copies"), "n_bytes")
-    every = parts.unionByName(base)
-    sums = every.groupBy("doc_id", "k").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"), F.max("n_bytes").alias("n_bytes"))
-    # Rows with equal doc_id and text were added up together.
-    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).withColumn("n_tokens", F.expr("n div copies"))
-    return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rare = others.join(pieces, "piece").select("row", (F.col("n") * F.col("n_pieces")).alias("n"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"))
+    base = found.where("piece IS NULL").select("row", "n", "doc_id", "n_bytes")
+    sums = rare.unionByName(base).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
+    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op1_count_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:

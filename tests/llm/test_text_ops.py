@@ -34,14 +34,38 @@ def test_token_counts_equal_the_library(spark, head):
     assert tokens.token_counts(df.limit(0), path).collect() == []
 
 
-def test_head_from_few_partitions(spark):
-    df = spark.range(4000).selectExpr("id AS doc_id", "concat('word', id % 7, ' only', id) AS text").repartition(40)
-    seen = {r.piece: r.n for r in tokens.counted_strings(df, str.split, 0.1).collect()}
-    assert 100 <= sum(n for p, n in seen.items() if p.startswith("word")) < 1500
-    head = tokens.frequent_strings(df, str.split, rows=7, sample=400)
-    assert sorted(head) == [f"word{i}" for i in range(7)]
+def test_head_is_drawn_from_all_partitions(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('word', id div 1000, ' only', id) AS text").repartitionByRange(40, "doc_id")
+    head = tokens.frequent_strings(df, str.split, rows=4, sample=400).collect()
+    assert sorted(r.piece for r in head) == [f"word{i}" for i in range(4)]
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert tokens.token_counts(df, path, head_rows=7).count() == 4000
+    assert tokens.token_counts(df, path, head_rows=4).count() == 4000
+
+
+def test_texts_of_equal_checksum_are_told_apart(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    rng, seen = random.Random(5), {}
+    while True:
+        text = " ".join(str(rng.random()) for _ in range(rng.randint(1, 3)))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text and len(other) != len(text):
+            break
+    rows = [(7, text), (7, other), (None, text), (None, other), (7, text)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    want = Counter((d, len(t), len(tokenizer.encode(t).ids), False) for d, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, tokens.token_counts(df, path, head_rows=0).collect())) == want
+
+
+def test_long_strings_are_no_keys(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, "=" * (300 + i % 2) + " a" + "é" * 200) for i in range(20)]
+    counted = tokens.counted_strings(spark.createDataFrame(rows, "doc_id long, text string"), tokens.Pretokenizer(path).splitter()).collect()
+    assert all(len(r.piece.encode()) <= tokens.KEY_BYTES for r in counted)
 
 
 def test_other_tokenizers_are_refused():
