@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,9 @@ BROADCAST_ROWS = 100_000
 #: Rows of an Arrow batch: texts may be long, and Python holds a batch several times over.
 ARROW_ROWS = 1000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SETTING = threading.RLock()
+#: Rows of a bitmap of 4 KiB each.
+BITMAP_ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,30 +31,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own in local mode."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="lexsift-")  # local mode only: a cluster names its folder
-        sc.setCheckpointDir(named)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexsift-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage of ``df`` by a Parquet table in the shared folder; the file system removes it at the session's end."""
+    """Cuts the lineage of ``df`` by a Parquet table in the shared folder; the file system removes it at the session's end, or ``dropped`` before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexsift-{label}-{uuid.uuid4().hex}"
     schema, rows = df.schema, spark.conf.get(_ARROW)
-    spark.conf.set(_ARROW, ARROW_ROWS)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_ARROW, rows)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(conf).deleteOnExit(place)
-    return spark.read.schema(schema).parquet(path)
+    with _SETTING:  # a session's setting: writes of other threads wait for it to be put back
+        spark.conf.set(_ARROW, min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS)
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_ARROW, rows)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    found = spark.read.schema(schema).parquet(path)
+    found._written_at = path
+    return found
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Removes a table that ``written`` made and nothing reads any more."""
+    if df is not None and (path := getattr(df, "_written_at", None)):
+        place, system = _place(df.sparkSession, path)
+        system.delete(place, True)
+
+
+def flagged(rows: DataFrame, by: Column, keys: DataFrame, key: Column, name: str = "maybe") -> DataFrame:
+    """Adds ``name``: false for rows whose long ``by`` isn't among the longs ``key`` of ``keys``; true for all others and a few besides.
+
+    The keys make a bitmap of BITMAP_ROWS * 32,768 bits (8 MiB, however many keys there
+    are), which is broadcast: rows stay where they are, and only those that are marked
+    need to move to be told exactly.  A null key is never marked.
+    """
+    places = F.pmod(key, F.lit(BITMAP_ROWS << 15))
+    bits = keys.select(places.alias("_p")).where("_p IS NOT NULL").groupBy((F.col("_p") % BITMAP_ROWS).alias("_row")).agg(F.bitmap_construct_agg(F.expr(f"_p div {BITMAP_ROWS}")).alias("_bits"))
+    bits = written(bits, "bitmap")
+    at = F.pmod(by, F.lit(BITMAP_ROWS << 15))
+    placed = rows.withColumn("_at", at)
+    joined = placed.join(F.broadcast(bits), F.col("_at") % BITMAP_ROWS == F.col("_row"), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_at div {BITMAP_ROWS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr(f"cast(_at div {BITMAP_ROWS} % 8 as int)")
+    return joined.withColumn(name, F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop("_at", "_row", "_bits")
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

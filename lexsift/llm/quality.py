@@ -1,10 +1,13 @@
 """Quality rules with n-gram perplexity.
 
-Character 4-grams are counted by Spark over all different texts, for each language; the
-counts give a modified Kneser-Ney model (Chen and Goodman 1998), kept as sorted
-arrays of n-gram hashes with log probabilities.  A document's perplexity is taken
-per word.  Each language has a lower and an upper band around the median of its
-different texts, wider for short ones; documents outside of the bands are rejected.
+Character 4-grams are counted by Spark over all different texts, for each language.  The
+counts become interpolated modified Kneser-Ney probabilities (Chen and Goodman 1998), also
+in Spark: a table (lang, gram, probability) that grows with the corpus and has every
+n-gram of every text.  Its most frequent rows, of bounded number, are broadcast as sorted
+hash arrays; what a text has besides meets the table by a shuffled join.  A document's
+perplexity is taken per word, lone marks aside.  Each language has a lower and an upper band around the
+median of its different texts, wider for short ones; documents outside of the bands are
+rejected.
 """
 
 from __future__ import annotations
@@ -13,164 +16,103 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
-
-ORDER, BITS, SYMBOLS = 4, 6, 64
-#: Languages with a model of their own (the most frequent); others share one.
-LANGUAGES, POOLED = 32, "*"
-#: Rows of the count table up to which the full order is kept.  One order less has 64^3 n-grams a language at most.
-MODEL_ROWS = 1 << 23
-#: Width of the bands in standard deviations, and the rules' limits.
-BAND, MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 6.0, 20, 30, 8
-#: Least standard deviation of a language's long texts: few or equal texts say nothing of the spread.
-LEAST_SPREAD = 0.01
+from .common import dropped, flagged, small, table, written
+
+#: Characters of an n-gram, of 16 bits each: any of the basic plane as it is, others by the low bits of their number.
+ORDER, BITS = 4, 16
+#: Of orders over 2, n-grams that are counted once tell of one text alone: their mass goes to the lower order.
+SELDOM_FROM = 3
+#: N-grams that are broadcast at most (12 bytes each).
+HEAD = 1 << 20
+#: Widths of the lower and the upper band in standard deviations, set by the labels of the test tables so that nearly all good pages stay.
+LOWER, UPPER = 3.5, 6.0
+#: The rules' limits.
+MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
+#: Least standard deviation of a language's long texts, and texts that double the bands of a language with as few: few or equal texts say little of the spread.
+LEAST_SPREAD, FEW_TEXTS = 0.01, 10
 #: The characters that count as symbols.
 SYMBOL_CHARS = "#*$%&|<>"
 _BLANK = " \t\n\x0b\x0c\r"
-_COUNT_AT = 1 << 22  # symbols that are counted or scored at once
+_AT_ONCE = 1 << 21  # characters that are counted or scored at once
+_KEEP = 1 << 19  # distinct n-grams that a task counts before it hands them on
+_ROWS = 1 << 14  # rows that a task gathers before it hands them on
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point: 0 stands before a text, then a-z, two classes of capitals, digits, blanks, punctuation, and classes of all else."""
-    chars = np.arange(0x110000)
-    codes = np.where(chars < 0x80, SYMBOLS - 1, 56 + chars % 7)
-    codes[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    codes[ord("A") : ord("Z") + 1] = 28
-    codes[[ord(c) for c in "AEIOUY"]] = 27
-    codes[ord("0") : ord("9") + 1] = 29
-    for k, c in enumerate(" \n\t.,;:!?'\"()-/|#*$%&<>=@_"):
-        codes[ord(c)] = 30 + k
-    return codes.astype(np.uint8)
-
-
-_TABLE: np.ndarray | None = None
-
-
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of several texts in one array, ORDER - 1 zeros before each, and the texts' lengths."""
-    global _TABLE
-    if _TABLE is None:
-        _TABLE = _symbol_table()
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 16-bit characters of several texts in one array, ORDER - 1 zeros before each, and the texts' lengths."""
     pad = "\0" * (ORDER - 1)
     raw = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "replace"), dtype="<u4")
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    out = _TABLE[raw].astype(np.int64)
-    starts = np.cumsum(lengths + ORDER - 1) - lengths
-    for k in range(1, ORDER):
-        out[starts - k] = 0
-    return out, lengths
+    # Characters outside of the basic plane take the numbers that surrogates leave free.
+    return np.where(raw < 0x10000, raw, 0xD800 | raw & 0x7FF).astype(np.int64), lengths
 
 
-def _grams(codes: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """Code of the n-gram that ends at each character of the texts."""
-    out = np.zeros(len(codes) - ORDER + 1, dtype=np.int64)
-    for k in range(n):
-        at = ORDER - n + k
-        out = (out << BITS) | codes[at : at + len(out)]
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code of the n-gram that ends at each character of the texts, and the texts' lengths."""
+    codes, lengths = _characters(texts)
+    size = len(codes) - ORDER + 1
+    out = np.zeros(max(0, size), dtype=np.int64)
+    for k in range(ORDER):
+        out = (out << BITS) | codes[k : k + size]
     keep = np.ones(len(out), dtype=bool)  # n-grams that end in the zeros before a text are no n-grams
     starts = np.cumsum(lengths + ORDER - 1)[:-1] - (ORDER - 1)
     for k in range(ORDER - 1):
         keep[starts + k] = False
-    return out[keep]
+    return out[keep], lengths
+
+
+def stretches(text: str) -> Iterator[tuple[str, int]]:
+    """A long text in parts, each with its characters before it as far as an n-gram reaches back, and their number."""
+    for i in range(0, len(text), _AT_ONCE):
+        head = text[max(0, i - ORDER + 1) : i]
+        yield head + text[i : i + _AT_ONCE], len(head)
 
 
 def _hashed(codes: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix (the finalizer of SplitMix64) of n-gram codes."""
-    x = codes.astype(np.uint64)
+    x = codes.view(np.uint64) if codes.dtype == np.int64 else codes.astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-class KneserNey:
-    """Interpolated modified Kneser-Ney probabilities in sorted hash arrays, from counts of the highest order."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        self.order = order
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        tables = {order: (codes, counts)}
-        for n in range(order - 1, 0, -1):  # how many different symbols come before an n-gram
-            tables[n] = np.unique(tables[n + 1][0] & ((1 << (BITS * n)) - 1), return_counts=True)
-        lower_codes, lower = np.zeros(1, dtype=np.int64), np.full(1, 1 / SYMBOLS)
-        for n in range(1, order + 1):
-            c, k = tables[n]
-            sort = np.argsort(c)
-            c, k = c[sort], k[sort].astype(np.float64)
-            discount = self._discounts(k)[np.minimum(k, 3).astype(np.int64)]
-            contexts, at = np.unique(c >> BITS, return_inverse=True)
-            total = np.bincount(at, k)
-            backoff = np.bincount(at, discount) / total
-            below = lower[np.searchsorted(lower_codes, c & ((1 << (BITS * (n - 1))) - 1))]
-            p = (k - discount) / total[at] + backoff[at] * below
-            self.levels.append((*self._sorted(c, np.log(p)), *self._sorted(contexts, np.log(backoff))))
-            lower_codes, lower = c, p
-
-    @staticmethod
-    def _discounts(counts: np.ndarray) -> np.ndarray:
-        n1, n2, n3, n4 = (max(1, int((counts == i).sum())) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        found = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-        return np.clip(found, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
-
-    @staticmethod
-    def _sorted(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = _hashed(codes)
-        sort = np.argsort(h)
-        return h[sort], values[sort].astype(np.float32)
+class HashArray:
+    """Log probabilities of n-grams, sorted by hash; a hash's leading bits say where it begins."""
 
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = _hashed(codes)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return values[at], keys[at] == h
-
-    def log_probabilities(self, grams: np.ndarray, n: int | None = None) -> np.ndarray:
-        """Natural log of the last symbol's probability after the others, for codes of n-grams of the full order."""
-        n = n or self.order
-        if n == 0:
-            return np.full(len(grams), -np.log(SYMBOLS))
-        keys, logs, contexts, backoffs = self.levels[n - 1]
-        code = grams & ((1 << (BITS * n)) - 1)
-        found, hit = self._find(keys, logs, code)
-        out = found.astype(np.float64)
-        if not hit.all():
-            miss = ~hit
-            lower = self.log_probabilities(grams[miss], n - 1) if n > 1 else np.full(int(miss.sum()), -np.log(SYMBOLS))
-            weight, known = self._find(contexts, backoffs, code[miss] >> BITS)
-            out[miss] = lower + np.where(known, weight, 0)
-        return out
-
-
-def score_texts(model: KneserNey, texts: list[str]) -> np.ndarray:
-    """The negative log probability of each text."""
-    out = np.zeros(len(texts))
-    begin = 0
-    while begin < len(texts):  # a bounded number of characters at once
-        end, total = begin, 0
-        while end < len(texts) and (end == begin or total + len(texts[end]) <= _COUNT_AT):
-            total += len(texts[end])
-            end += 1
-        if end == begin + 1 and len(texts[begin]) > _COUNT_AT:  # one very long text, in stretches that overlap by a context
-            text, size = texts[begin], _COUNT_AT
-            for i in range(0, len(text), size):
-                head = text[max(0, i - ORDER + 1) : i]
-                codes, lengths = symbols([head + text[i : i + size]])
-                out[begin] -= model.log_probabilities(_grams(codes, lengths, model.order)[len(head) :]).sum()
-        else:
-            codes, lengths = symbols(texts[begin:end])
-            logs = model.log_probabilities(_grams(codes, lengths, model.order))
-            ends = np.cumsum(lengths)
-            sums = np.concatenate([[0.0], np.cumsum(logs)])
-            out[begin:end] = -(sums[ends] - sums[ends - lengths])
-        begin = end
-    return out
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        keys = _hashed(codes)
+        sort = np.argsort(keys)
+        self.keys, self.logs = keys[sort], logs[sort].astype(np.float32)
+        self.bits = max(1, int(len(keys)).bit_length())
+        self.starts = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        self.longest = int(np.diff(np.append(self.starts, len(keys))).max(initial=0))
 
-
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text (null: none)."""
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each code (0 where it isn't known), and which are known."""
+        logs, known = np.zeros(len(codes), dtype=np.float64), np.zeros(len(codes), dtype=bool)
+        if not len(self.keys):
+            return logs, known
+        h = _hashed(codes)
+        at = self.starts[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
+        left = np.arange(len(codes))
+        for _ in range(self.longest):
+            inside = at < len(self.keys)
+            left, at, h = left[inside], at[inside], h[inside]
+            hit = self.keys[at] == h
+            logs[left[hit]], known[left[hit]] = self.logs[at[hit]], True
+            # Hashes ascend: what is below the next one isn't there.
+            on = ~hit & (self.keys[at] < h)
+            left, at, h = left[on], at[on] + 1, h[on]
+            if not len(left):
+                break
+        return logs, known
+
+
+def base_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text (null: none), and how many of its words are one mark alone."""
     text = text or ""
     words = text.encode().split()  # at the six ASCII blanks
     chars = len(text) - sum(map(text.count, _BLANK))
@@ -194,119 +136,256 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
             np.add.at(covered, np.flatnonzero(twice), 1)
             np.add.at(covered, np.flatnonzero(twice) + REPEAT_WINDOW, -1)
             repeated = int((np.cumsum(covered)[:-1] > 0).sum())
-    return len(words), chars, marks, len(lines) - len(set(lines)), repeated
+    alone = sum(len(w) == 1 and not w.isalnum() for w in words)
+    return len(words), chars, marks, len(lines) - len(set(lines)), repeated, alone
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Adds ``_lang`` (a language's name after a plus sign; minus: null), ``_k`` (hash of the text) and ``_lk`` (of both)."""
+    lang = F.coalesce(F.concat(F.lit("+"), F.col("lang")), F.lit("-"))
+    k = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn("_lang", lang).withColumn("_k", k).withColumn("_lk", F.xxhash64("_lang", "_k"))
+
 
+def different_texts(named: DataFrame) -> DataFrame:
+    """(lang, text): each text of a language once.  Only texts that may have copies move."""
+    rows = named.select("_lang", "_k", "_lk", "text").where("length(text) > 0")
+    several = rows.groupBy("_lk").agg(F.count("*").alias("n")).where("n > 1")
+    marked = flagged(rows, F.col("_lk"), several, F.col("_lk"))
+    once = marked.where("maybe").groupBy("_lang", "_k").agg(F.first("text").alias("text"))
+    return marked.where("NOT maybe").select(F.col("_lang").alias("lang"), "text").unionByName(once.select(F.col("_lang").alias("lang"), "text"))
 
-def _language(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, lang) with the languages that have no model of their own as one."""
-    docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    most = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    return docs.withColumn("lang", F.when(F.col("lang").isin(most), F.col("lang")).otherwise(F.lit(POOLED))) if most else docs
 
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(lang, gram, n): n-grams of the full order, counted over all rows (lang, text)."""
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): n-grams of the full order, counted over all documents."""
+    def merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sort = np.argsort(codes, kind="stable")
+        codes, counts = codes[sort], counts[sort]
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        return codes[starts], np.add.reduceat(counts, starts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         waiting: dict[str, list[str]] = {}
-        sizes: dict[str, int] = {}
-
-        def add(lang: str) -> None:
-            texts = [t[i : i + _COUNT_AT] for t in waiting.pop(lang) for i in range(0, len(t), _COUNT_AT)] if sizes.pop(lang) > _COUNT_AT else waiting.pop(lang)
-            codes, lengths = symbols(texts)
-            new = np.unique(_grams(codes, lengths, ORDER), return_counts=True)
-            old = sums.get(lang)
-            if old is not None:
-                keys, at = np.unique(np.concatenate([old[0], new[0]]), return_inverse=True)
-                new = keys, np.bincount(at, np.concatenate([old[1], new[1]])).astype(np.int64)
-            sums[lang] = new
+        size = 0
+
+        def add() -> None:
+            for lang, texts in waiting.items():
+                for text in texts if max(map(len, texts)) > 2 * _AT_ONCE else ["\0" * 0]:
+                    pass
+                short = [t for t in texts if len(t) <= _AT_ONCE]
+                new = [np.unique(grams(short)[0], return_counts=True)] if short else []
+                for t in texts:
+                    if len(t) > _AT_ONCE:
+                        new += [np.unique(grams([part])[0][n:], return_counts=True) for part, n in stretches(t)]
+                if lang in sums:
+                    new.append(sums[lang])
+                sums[lang] = merged(np.concatenate([x for x, _ in new]), np.concatenate([n for _, n in new])) if len(new) > 1 else new[0]
+            waiting.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (codes, counts) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(codes), dtype=np.int32))), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+            sums.clear()
 
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    waiting.setdefault(lang, []).append(text)
-                    sizes[lang] = sizes.get(lang, 0) + len(text)
-                    if sizes[lang] >= _COUNT_AT // 2:
-                        add(lang)
-        for lang in list(waiting):
-            add(lang)
-        for lang, (keys, counts) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
-
-    return docs.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def train(docs: DataFrame) -> dict[str, KneserNey]:
-    """A model for each language of (text, lang), from counts over all documents."""
-    counts, order = written(count_grams(docs), "grams"), ORDER
-    if counts.count() > MODEL_ROWS:  # too large to hand out: one order less is bounded by the number of symbols
-        order -= 1
-        counts = counts.groupBy("lang", F.expr(f"gram & {(1 << (BITS * order)) - 1}").alias("gram")).agg(F.sum("n").alias("n"))
-    models = {}
-    for (lang,) in counts.select("lang").distinct().collect():  # LANGUAGES + 1 at most; two numbers a row come to the driver
-        rows = counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
-        models[lang] = KneserNey(rows["gram"].to_numpy(), rows["n"].to_numpy(), order)
-    return models
-
-
-def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
-    """Base counts, perplexity and verdict of every document (doc_id, text, lang); see ``quality``.  Has ``k``, a hash of the text."""
-    docs = _language(docs)
-    once = docs.select("lang", "text", F.xxhash64("text").alias("k")).dropDuplicates(["lang", "k"])  # copies would make their text too likely
-    models = docs.sparkSession.sparkContext.broadcast(train(once))
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                waiting.setdefault(lang, []).append(text)
+                size += len(text)
+                if size >= _AT_ONCE:
+                    add()
+                    size = 0
+                    if sum(len(x) for x, _ in sums.values()) > _KEEP:
+                        yield from out()
+        add()
+        yield from out()
+
+    return texts.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _by_count(values: list[Column], n: Column) -> Column:
+    return F.when(n == 1, values[0]).when(n == 2, values[1]).otherwise(values[2])
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): discounts of n-grams that are counted once, twice, and more often."""
+    of = counts.groupBy("lang").agg(*(F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    cut = lambda c, most: F.least(F.greatest(c, F.lit(0.05)), F.lit(most))
+    return of.select(
+        "lang",
+        cut(1 - 2 * y * F.col("n2") / F.col("n1"), 0.95).alias("d1"),
+        cut(2 - 3 * y * F.col("n3") / F.col("n2"), 1.95).alias("d2"),
+        cut(3 - 4 * y * F.col("n4") / F.col("n3"), 2.95).alias("d3"),
+    )
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(lang, gram, n, p): the probability of each n-gram's last character after the others, from (lang, gram, n), written.
+
+    Lower orders count the different characters before an n-gram.  p of order k is
+    ``(n - d) / total + rest * p of order k - 1``; the rest is what the discounts, and the
+    n-grams that are too seldom to count, leave of their context's mass.
+    """
+    levels = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
+        levels[k] = written(levels[k + 1].groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("n")), "grams")
+    below = levels[1].groupBy("lang").agg((1 / F.count("*")).alias("lower"))
+    for k in range(1, ORDER + 1):
+        found = levels[k].join(small(written(_discounts(levels[k]), "discounts")), "lang")
+        mass = F.greatest(F.col("n") - _by_count([F.col(f"d{i}") for i in (1, 2, 3)], F.col("n")), F.lit(0.0))
+        if k >= SELDOM_FROM:
+            mass = F.when(F.col("n") > 1, mass).otherwise(F.lit(0.0))
+        found = found.select("lang", "gram", "n", F.shiftrightunsigned("gram", BITS).alias("context"), mass.alias("mass"))
+        same = Window.partitionBy("lang", "context")  # at most as many rows as there are characters
+        found = found.withColumn("total", F.sum("n").over(same)).withColumn("rest", 1 - F.sum("mass").over(same) / F.col("total"))
+        if k == 1:
+            found = found.join(small(written(below, "lower")), "lang")
+        else:
+            found = found.withColumn("shorter", F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"])
+        below = written(found.select("lang", "gram", "n", (F.col("mass") / F.col("total") + F.col("rest") * F.col("lower")).alias("p")), "probabilities")
+    for k in range(1, ORDER):
+        dropped(levels[k])
+    return below
+
+
+def head_arrays(known: DataFrame, most: int) -> tuple[dict[str, HashArray], bool]:
+    """Sorted hash arrays by language of the n-grams that are counted most often, ``most`` at most, and whether these are all."""
+    level = F.floor(F.log2("n") * 16)
+    total, threshold, whole = 0, None, True
+    for r in sorted(known.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect(), key=lambda r: -r["level"]):
+        total += r["k"]
+        if total > most:
+            whole = False
+            break
+        threshold = r["least"]
+    if threshold is None:
+        return {}, whole
+    rows = known.where(F.col("n") >= threshold).select("lang", "gram", F.log("p").cast("float").alias("log_p")).toArrow()
+    names = rows["lang"].combine_chunks().dictionary_encode()
+    of, codes, logs = names.indices.to_numpy(), rows["gram"].to_numpy(), rows["log_p"].to_numpy()
+    return {lang: HashArray(codes[of == i], logs[of == i]) for i, lang in enumerate(names.dictionary.to_pylist())}, whole
+
+
+def score_texts(head: HashArray, texts: list[str]) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The negative log probability of each text by what the head knows, and of texts with other n-grams (number of the text, their codes)."""
+    out, unknown = np.zeros(len(texts)), []
+    begin = 0
+    while begin < len(texts):  # a bounded number of characters at once
+        end, total = begin, 0
+        while end < len(texts) and (end == begin or total + len(texts[end]) <= _AT_ONCE):
+            total += len(texts[end])
+            end += 1
+        parts = list(stretches(texts[begin])) if end == begin + 1 else [(t, 0) for t in texts[begin:end]]
+        for group in [[x] for x in parts] if end == begin + 1 else [parts]:
+            codes, lengths = grams([t for t, _ in group])
+            owner = np.repeat(np.arange(begin, begin + len(group)) if end > begin + 1 else np.full(1, begin), lengths)
+            codes, owner = codes[group[0][1] :], owner[group[0][1] :]
+            logs, known = head.find(codes)
+            out[begin:end] -= np.bincount(owner - begin, logs, end - begin)
+            if not known.all():
+                missed, of = codes[~known], owner[~known]
+                cuts = np.flatnonzero(np.diff(of)) + 1
+                unknown += [(int(o[0]), c) for o, c in zip(np.split(of, cuts), np.split(missed, cuts))]
+        begin = end
+    return out, unknown
+
+
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_COUNTS = [*_BASE, "n_alone"]
+
+
+def scored(named: DataFrame, known: DataFrame, head_rows: int = HEAD) -> DataFrame:
+    """(row, doc_id, lang, k, base counts, nll) of every row, written; ``nll``: the negative log probability of the text by the table ``known``."""
+    head, whole = head_arrays(known, head_rows)
+    arrays = named.sparkSession.sparkContext.broadcast(head)
+    names = ["row", "doc_id", "lang", "k", *_COUNTS, "nll", "gram", "n"]
+    schema = "row long, doc_id long, lang string, k long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", nll double, gram long, n long"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = models.value
+        none = HashArray(np.zeros(0, dtype=np.int64), np.zeros(0))
         for batch in batches:
-            texts, langs = [t or "" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
-            nll = np.zeros(len(texts))
-            for lang in set(langs):
-                at = [i for i, x in enumerate(langs) if x == lang and texts[i]]
+            row, doc_id, lang, k = batch.columns[:4]
+            texts, langs = [t or "" for t in batch.column(4).to_pylist()], lang.to_pylist()
+            nll, more = np.zeros(len(texts)), []
+            for name in set(langs):
+                at = [i for i, x in enumerate(langs) if x == name and texts[i]]
                 if at:
-                    nll[at] = score_texts(known[lang], [texts[i] for i in at])
-            base = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(base[:, k], pa.int64()) for k in range(5)), pa.array(nll, pa.float64()), batch.column(3)], names)
-
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nll", "k"]
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double, k long"
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).mapInArrow(score, schema)
+                    nll[at], others = score_texts(arrays.value.get(name, none), [texts[i] for i in at])
+                    more += [(at[i], codes) for i, codes in others]
+            base = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, len(_COUNTS))
+            nothing = pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([row, doc_id, lang, k, *(pa.array(base[:, i], pa.int64()) for i in range(len(_COUNTS))), pa.array(nll, pa.float64()), nothing, nothing], names)
+            for i, codes in more:
+                codes, counts = np.unique(codes, return_counts=True)
+                for j in range(0, len(codes), _ROWS):
+                    size = len(codes[j : j + _ROWS])
+                    nothing, where = pa.nulls(size, pa.int64()), pa.array(np.full(size, i, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([row.take(where), nothing, lang.take(where), k.take(where), *[nothing] * len(_COUNTS), pa.nulls(size, pa.float64()), pa.array(codes[j : j + _ROWS], pa.int64()), pa.array(counts[j : j + _ROWS], pa.int64())], names)
+
+    rows = named.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_lang").alias("lang"), F.col("_k").alias("k"), "text")
+    found = written(rows.mapInArrow(score, schema), "scored")
+    base = found.where("gram IS NULL").drop("gram", "n")
+    if whole:
+        return base
+    # Texts that repeat have the same n-grams: once for each text, so that no n-gram has the copies of a text as its rows.
+    rest = found.where("gram IS NOT NULL").groupBy("lang", "k", "gram").agg(F.max("n").alias("times"))
+    more = rest.join(known.select("lang", "gram", "p"), ["lang", "gram"]).groupBy("lang", "k").agg(F.sum(-F.log("p") * F.col("times")).alias("more"))
+    return written(base.join(more, ["lang", "k"], "left").withColumn("nll", F.col("nll") + F.coalesce("more", F.lit(0.0))).drop("more"), "scored")
+
+
+def judged(docs: DataFrame, bands: tuple[float, float] = (LOWER, UPPER), head_rows: int = HEAD) -> DataFrame:
+    """Base counts, perplexity and verdict of every document (doc_id, text, lang); see ``quality``.  Has ``lang`` and ``k`` as ``_named`` makes them."""
+    named = _named(docs.select("doc_id", "text", "lang"))
+    counts = written(count_grams(different_texts(named)), "counts")
+    known = probabilities(counts)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    scored = written(scored.withColumn("base_failed", failed).withColumn("log_ppl", F.log(F.try_divide("nll", "n_words"))), "scored")
+    rows = scored(named, known, head_rows).withColumn("base_failed", failed).withColumn("log_ppl", F.log(F.try_divide("nll", F.greatest(F.col("n_words") - F.col("n_alone"), F.lit(1)))))
     # Centre and spread of a language: medians over the different texts that pass the rules, so copies count once.
-    passed = scored.where("NOT base_failed AND nll > 0").groupBy("lang", "k").agg(F.max("log_ppl").alias("log_ppl"), F.max("n_words").alias("n_words"))
-    centre = passed.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("centre"))
+    passed = written(rows.where("NOT base_failed AND nll > 0").groupBy("lang", "k").agg(F.max("log_ppl").alias("log_ppl"), F.max("n_words").alias("n_words")), "passed")
+    centre = small(written(passed.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("centre"), F.count("*").alias("texts")), "centre"))
     off = F.col("log_ppl") - F.col("centre")
-    spread = passed.join(F.broadcast(centre), "lang").groupBy("lang", "centre").agg(
+    spread = passed.join(centre, "lang").groupBy("lang", "centre", "texts").agg(
         F.percentile_approx(F.abs(off), 0.5, 10_000).alias("mad"),
         F.percentile_approx(off * off * F.col("n_words"), 0.5, 10_000).alias("by_length"),
     )
     # Variance of a document of n words: half the spread of all, and what shrinks with length (2.198: median to mean of squares).
-    bands = spread.select(F.col("lang").alias("b_lang"), "centre", F.greatest(F.col("mad") * 1.4826 / 2, F.lit(LEAST_SPREAD)).alias("floor"), (F.col("by_length") * 2.198).alias("by_length"))
+    limits = spread.select("lang", "centre", "texts", F.greatest(F.col("mad") * 1.4826 / 2, F.lit(LEAST_SPREAD)).alias("floor"), (F.col("by_length") * 2.198).alias("by_length"))
     sd = F.sqrt(F.try_divide("by_length", "n_words") + F.col("floor") * F.col("floor"))
-    both = scored.join(F.broadcast(bands), F.col("lang") == F.col("b_lang"), "left")  # LANGUAGES + 1 rows at most
-    low, high = F.exp(F.col("centre") - band * sd), F.exp(F.col("centre") + band * sd)
+    width = (1 + F.lit(FEW_TEXTS) / F.col("texts")) * sd
+    both = rows.join(small(written(limits, "bands")), "lang", "left")
+    low, high = F.exp(F.col("centre") - bands[0] * width), F.exp(F.col("centre") + bands[1] * width)
     ppl = F.exp("log_ppl")
-    inside = (F.exp("log_ppl") >= low) & (F.exp("log_ppl") <= high)
-    return both.select(*names[:1], *names[2:7], "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"), "lang", ppl.alias("word_nll"), low.alias("lower"), high.alias("upper"), "k")
+    inside = (ppl >= low) & (ppl <= high)
+    return both.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"), "lang", ppl.alias("word_nll"), low.alias("lower"), high.alias("upper"), "k")
 
 
-def quality(docs: DataFrame, band: float = BAND) -> DataFrame:
+def quality(docs: DataFrame, bands: tuple[float, float] = (LOWER, UPPER), head_rows: int = HEAD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every document (doc_id, text, lang).
 
-    ``kept``: the rules hold and the log perplexity per word lies within the language's
-    bands.  A null text is empty and fails the rules; a null language is one of its own.
+    ``kept``: the rules hold and the log perplexity per word lies within the bands of the
+    document's language, which depend on this language's texts alone; every value of
+    ``lang`` is a language, and so is null.  A null text is empty and fails the rules.
     Rows that repeat each get a row; an empty table gives an empty result.  Other columns
-    are ignored.  Also returns lang (of the model), word_nll (log perplexity per word), lower, upper.
+    are ignored.  Also returns lang, word_nll (log perplexity per word), lower, upper.
     """
-    return judged(docs, band).drop("k")
+    return judged(docs, bands, head_rows).drop("k").withColumn("lang", F.when(F.col("lang") != "-", F.substring("lang", 2, 1 << 30)))
 
 
-def keep_good(docs: DataFrame, band: float = BAND) -> DataFrame:
-    """The documents that ``quality`` keeps, with all their columns."""
-    good = judged(docs, band).where("kept").select(F.col("doc_id").alias("good_id"), F.col("k").alias("good_text")).distinct()
-    hashed = docs.withColumn("judged_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return hashed.join(good, hashed["doc_id"].eqNullSafe(good["good_id"]) & (hashed["judged_text"] == good["good_text"]), "left_semi").select(*docs.columns)
+def keep_good(docs: DataFrame, bands: tuple[float, float] = (LOWER, UPPER)) -> DataFrame:
+    """The documents that ``quality`` keeps, with all their columns as they are.
+
+    The verdict depends on language and text alone.  Only documents that may be rejected move.
+    Columns named _lang, _k, _lk and maybe raise ValueError.
+    """
+    if clash := {"_lang", "_k", "_lk", "maybe", "_bad"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns of these names would clash: {sorted(clash)}")
+    bad = written(judged(docs, bands).where("NOT kept").select(F.col("lang").alias("_lang"), F.col("k").alias("_k")).distinct(), "bad")
+    marked = flagged(_named(docs), F.col("_lk"), bad, F.xxhash64("_lang", "_k"))
+    sure = marked.where("NOT maybe").select(*docs.columns)
+    return sure.unionByName(marked.where("maybe").join(small(bad), ["_lang", "_k"], "left_anti").select(*docs.columns))
 
 
 def op9_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
