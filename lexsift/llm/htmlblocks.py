@@ -6,29 +6,39 @@ import html
 import re
 from dataclasses import dataclass
 
-#: Fixed values of HTML: elements that break blocks, that have no end tag, and whose content is no text.
+#: Fixed values of HTML: elements that break blocks, that have no end tag, and whose content is a program, a form's value or another document instead of the page's text.
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video noframes noembed xmp".split())
+RAW = frozenset("script style template textarea title iframe noframes noembed".split())
 #: An opening tag closes these if they are open, looking up to the nearest of ``_SCOPE``.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPE = frozenset("ul ol dl select table article section aside nav header footer main form fieldset div body td th dialog details figure".split())
-_NO_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary", "figcaption", "frameset", "dt", "dd", "li"}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_NO_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary", "figcaption", "frameset", "dt", "dd", "li", "noscript"}
+_TABLE = frozenset("table tr td th tbody thead tfoot body html".split())
+
+# Attributes as the HTML tokenizer reads them: a quote opens a value only right after the equals sign.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)?+)?+"""
+_TAG = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/[^a-zA-Z>])[^>]*(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)""", re.S)
+_ATTRIBUTES = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s"'>][^\s>]*+))?+)?+""")
+#: Elements that may be open at once.
+DEPTH = 512
+_NAMING = frozenset("class id role aria-label itemprop".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A name with one of these says how the element looks or what else the page has, not what it is.
+_MODIFIERS = frozenset("has have with without no not is are enabled disabled left right layout single hide show on off open closed allow allowed can single full active default style theme template type format status column columns col grid row".split())
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
     names: frozenset[str]
-    tags: frozenset[str]  # of the element and all above it
-    all_names: frozenset[str]
+    above: Node | None
     hidden: bool
+    chars: int = 0  # of the text in it
+    holds: bool = False  # the page's largest article stands in it (set by who knows)
+    context: frozenset[int] | None = None  # kept by who asks for it
 
 
 @dataclass(slots=True)
@@ -36,35 +46,53 @@ class Block:
     text: str
     node: Node
     link_chars: int
+    names: frozenset[str]  # of an inline element that the block begins with
     is_title: bool = False
 
 
-_ROOT = Node("", frozenset(), frozenset(), frozenset(), False)
-
-
 def _title(page: str) -> str:
     m = re.search(r"<title[^>]*>(.*?)(?:</title|\Z)", page, re.I | re.S)
     return " ".join(html.unescape(m[1]).split()) if m else ""
 
 
+def _named(attributes: str) -> tuple[frozenset[str], bool]:
+    """The words of an element's names, and whether it is hidden.  Words next to a modifier don't count."""
+    found: set[str] = set()
+    hidden = False
+    for name, *values in _ATTRIBUTES.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name in _NAMING:
+            for token in value.split():
+                words = {w.lower() for w in _WORDS.findall(token)}
+                if not words & _MODIFIERS:
+                    found |= words
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            hidden = True
+    return frozenset(found), hidden
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order, without empty ones; character references decoded, white space made one space."""
+    """The blocks of a page in order, without empty ones; character references decoded, white space made one space.
+
+    Elements that are nested deeper than DEPTH stand side by side, as in browsers.
+    """
     page = page or ""
     blocks: list[Block] = []
-    stack = [_ROOT]
+    stack = [Node("", frozenset(), None, False)]
     buffer: list[str] = []
     links = 0  # open <a>
     link_chars = 0
+    inline: frozenset[str] = frozenset()
     title = _title(page)
 
     def flush() -> None:
-        nonlocal link_chars
+        nonlocal link_chars, inline
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
-            if text and not stack[-1].hidden and "head" not in stack[-1].tags:
-                blocks.append(Block(text, stack[-1], link_chars, text == title))
+            if text and not any(n.tag == "head" for n in stack):
+                blocks.append(Block(text, stack[-1], link_chars, inline, text == title))
             buffer.clear()
-        link_chars = 0
+        link_chars, inline = 0, frozenset()
 
     def close(tags: frozenset[str] | set[str], scope: frozenset[str]) -> None:
         """Closes the nearest open element of ``tags``, and what is open in it."""
@@ -95,14 +123,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS:
-                close({tag}, frozenset(("td", "th")) if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html") else frozenset())
+                close({tag}, frozenset(("td", "th")) if tag not in _TABLE else frozenset())
             elif tag == "br":
                 buffer.append(" ")
             continue
         if tag in RAW:
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
-                stop = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
-                at = stop.end() if stop else end
+            stop = re.compile(f"</{tag}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
+            at = stop.end() if stop else end
             buffer.append(" ")
             continue
         if tag == "a":
@@ -116,16 +143,19 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 close({"head"}, frozenset())
             flush()
             if tag != "hr":
-                up = stack[-1]
-                names = frozenset(w.lower() for x in _NAMES.findall(m[3]) for w in _WORDS.findall("".join(x))) if m[3] else frozenset()
-                stack.append(Node(tag, names, up.tags | {tag}, up.all_names | names if names else up.all_names, up.hidden or bool(m[3] and _HIDDEN.search(m[3]))))
+                names, hidden = _named(m[3]) if m[3] else (frozenset(), False)
+                if len(stack) > DEPTH:
+                    stack.pop()
+                stack.append(Node(tag, names, stack[-1], hidden))
                 links = 0
         elif tag in ("br", "img", "input", "button"):
             buffer.append(" ")
-        elif m[3] and "class" in m[3]:  # an inline element with a name of its own marks the block
-            names = frozenset(w.lower() for x in _NAMES.findall(m[3]) for w in _WORDS.findall("".join(x)))
-            if names and not "".join(buffer).strip():
-                up = stack[-1]
-                stack[-1] = Node(up.tag, up.names | names, up.tags, up.all_names | names, up.hidden)
+        elif m[3] and not inline and not "".join(buffer).strip():  # an inline element with a name of its own marks the block
+            inline = _named(m[3])[0]
     flush()
+    for block in blocks:
+        n: Node | None = block.node
+        while n is not None:
+            n.chars += len(block.text)
+            n = n.above
     return blocks

@@ -172,8 +172,6 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
         def add() -> None:
             for lang, texts in waiting.items():
-                for text in texts if max(map(len, texts)) > 2 * _AT_ONCE else ["\0" * 0]:
-                    pass
                 short = [t for t in texts if len(t) <= _AT_ONCE]
                 new = [np.unique(grams(short)[0], return_counts=True)] if short else []
                 for t in texts:

@@ -11,6 +11,8 @@ import xxhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from tests.llm import labelled_pages  # noqa: E402
+
 from lexsift.llm import audio, graph, htmlblocks, htmlcrf, neardup, pieces, quality, tokens  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -194,6 +196,44 @@ def test_field_on_held_out_pages():
     assert right / total > 0.98
 
 
+@pytest.mark.parametrize("n", range(len(labelled_pages.PAGES)))
+def test_field_on_pages_labelled_by_hand(n):
+    page, want = labelled_pages.PAGES[n]
+    got = htmlcrf.main_text(htmlcrf.trained_field(), page).split("\n")
+    right = len(set(got) & set(want))
+    assert right / len(want) >= 0.9 and right / len(got) >= 0.9
+
+
+def test_names_around_an_article_do_not_lose_it():
+    field = htmlcrf.trained_field()
+    body = "<h1>On rain</h1><p>It rained for a week, and then it stopped.</p><p>Nobody was there to see it's end.</p>"
+    want = "On rain\nIt rained for a week, and then it stopped.\nNobody was there to see it's end."
+    for open_, close in [
+        ("<body class='page newsletter-enabled sidebar'><article>", "</article></body>"), ("<article class='post sidebar-left has-comments'>", "</article>"), ("<form class=search><article>", "</article></form>"),
+        ("<body><p hidden></p><article data-x=a'b>", "</article>"), ('<div class="comments footer"><div id=menu><article>', "</article></div></div>"),
+    ]:
+        assert htmlcrf.main_text(field, open_ + body + close) == want
+    assert htmlcrf.main_text(field, "<article><h1>Energy</h1><p>It is <math>E=mc</math> in this text.</p></article>") == "Energy\nIt is E=mc in this text."
+
+
+def test_markup_as_browsers_read_it():
+    for page, want in [
+        ("<p class=it's>a<p>b's<p>c", ["a", "b's", "c"]), ("<p title='x>y' a=\"'>\">q", ["q"]), ("<!--> <p>x<!-- <p>n --!> y", ["x y"]), ("</ ><p/class=a>z</>", ["z"]), ("a < b <3 c", ["a < b <3 c"]),
+        ("<p a='b>c", []), ("<script>'<p>'</script ><p>x</p><textarea><p>no</textarea>", ["x"]), ("<p>a<svg><text>b</text></svg>c", ["abc"]), ("<p =a'b>x", ["x"]), ("<p a = 'b' c>x", ["x"]),
+    ]:
+        assert [b.text for b in htmlblocks.leaf_blocks(page)] == want, page
+
+
+def test_long_and_deep_pages():
+    field = htmlcrf.trained_field()
+    deep = "<div>" * 3000 + "<p>text" + "</div>" * 10
+    assert len(htmlblocks.leaf_blocks("<div>a" * 50_000)) == 50_000
+    assert htmlblocks.leaf_blocks(deep)[0].text == "text" and isinstance(htmlcrf.main_text(field, deep), str)
+    long = "<article><h1>Title</h1>" + "<p>One more paragraph, of some words.</p>" * 20_000 + "<p>" + "word " * 200_000 + "</article>"
+    assert htmlcrf.main_text(field, long).count("\n") == 20_001
+    assert htmlblocks.leaf_blocks("<p a='" + "x" * 300_000 + "<a " * 50_000) == []
+
+
 def test_viterbi_against_all_labellings():
     from itertools import product
 
