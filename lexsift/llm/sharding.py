@@ -14,24 +14,30 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import md5_long, small, table, text_of, written
+from .common import md5_long, prefix, small, table, text_of, written
 
 #: Ranges at least, rows that a range should hold at most, and sampled keys for each boundary.
 MIN_RANGES, ROWS_PER_RANGE, SAMPLES = 256, 1 << 20, 16
 #: A range with this many times its share of the bytes is subdivided.
 OVERFULL = 2
-_KEYS = "array<struct<h:bigint,tie:bigint>>"
+#: What rows are sorted by: hash of the text, doc_id, and a number that repeated rows don't share.
+_ORDER = ("h", "tie", "salt")
+_KEYS = "array<struct<h:bigint,tie:bigint,salt:bigint>>"
 
 
 def _below(splitters: Column) -> Column:
-    """How many of the sorted splitters are at or below the row's key (h, tie)."""
-    return F.size(F.filter(splitters, lambda s: (s["h"] < F.col("h")) | ((s["h"] == F.col("h")) & (s["tie"] <= F.col("tie")))))
+    """How many of the sorted splitters are at or below the row's key."""
+    return F.size(F.filter(splitters, lambda s: s <= F.struct(*_ORDER)))
 
 
-def _located(rows: DataFrame, splitters: list[tuple[int, int]]) -> Column:
+def _key(row: tuple) -> dict[str, int]:
+    return dict(zip(_ORDER, row))
+
+
+def _located(splitters: list[tuple]) -> Column:
     """Range number of each row: two searches over about the square root of the number of splitters each."""
     width = max(1, int(len(splitters) ** 0.5))
-    blocks = [[{"h": h, "tie": t} for h, t in splitters[i : i + width]] for i in range(0, len(splitters), width)]
+    blocks = [[_key(s) for s in splitters[i : i + width]] for i in range(0, len(splitters), width)]
     heads = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), _KEYS)
     bodies = F.from_json(F.lit(json.dumps(blocks)), f"array<{_KEYS}>")
     block = _below(heads)  # 0: below the first splitter
@@ -40,15 +46,15 @@ def _located(rows: DataFrame, splitters: list[tuple[int, int]]) -> Column:
 
 def _sample(rows: DataFrame, rate: Column) -> DataFrame:
     """Keeps each row with probability min(1, size * rate), by a hash of its key: reruns agree."""
-    u = F.pmod(F.xxhash64(F.lit("splitter"), "h", "tie"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    u = F.pmod(F.xxhash64(F.lit("splitter"), *_ORDER), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return rows.where(u < F.col("size") * rate)
 
 
-def range_splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple[int, int]]:
+def range_splitters(rows: DataFrame, total: int, ranges: int) -> list[tuple]:
     """Quantile boundaries of a size-weighted sample of about ``ranges * SAMPLES`` keys (a bounded list)."""
     picked = _sample(rows, F.lit(ranges * SAMPLES / max(total, 1)))
-    numbered = picked.select("h", "tie", F.row_number().over(Window.orderBy("h", "tie")).alias("n"))
-    return [(r["h"], r["tie"]) for r in numbered.where(F.col("n") % SAMPLES == 0).orderBy("n").collect()]
+    numbered = picked.select(*_ORDER, F.row_number().over(Window.orderBy(*_ORDER)).alias("n"))
+    return [tuple(r[c] for c in _ORDER) for r in numbered.where(F.col("n") % SAMPLES == 0).orderBy("n").collect()]
 
 
 def _subdivided(rows: DataFrame, share: float) -> Column:
@@ -59,11 +65,11 @@ def _subdivided(rows: DataFrame, share: float) -> Column:
         return F.lit(0)
     rates = F.element_at(F.from_json(F.lit(json.dumps({str(k): SAMPLES / share for k in full})), "map<string,double>"), F.col("range_no").cast("string"))
     inside = rows.where(F.col("range_no").isin(list(full)))
-    order = Window.partitionBy("range_no").orderBy("h", "tie")
-    numbered = _sample(inside, rates).select("range_no", "h", "tie", F.row_number().over(order).alias("n"))
+    order = Window.partitionBy("range_no").orderBy(*_ORDER)
+    numbered = _sample(inside, rates).select("range_no", *_ORDER, F.row_number().over(order).alias("n"))
     found: dict[str, list[dict]] = {}
     for r in numbered.where(F.col("n") % SAMPLES == 0).orderBy("range_no", "n").collect():
-        found.setdefault(str(r["range_no"]), []).append({"h": r["h"], "tie": r["tie"]})
+        found.setdefault(str(r["range_no"]), []).append(_key(tuple(r[c] for c in _ORDER)))
     splitters = F.element_at(F.from_json(F.lit(json.dumps(found)), f"map<string,{_KEYS}>"), F.col("range_no").cast("string"))
     return F.coalesce(F.when(splitters.isNotNull(), _below(splitters)), F.lit(0))
 
@@ -71,20 +77,19 @@ def _subdivided(rows: DataFrame, share: float) -> Column:
 def shards_by_bytes(rows: DataFrame, shards: int) -> DataFrame:
     """Adds ``shard`` and ``slot`` to rows that have ``h``, ``tie`` (longs, not null: the sort key) and ``size`` (at least 1).
 
-    The records keep the order (h, tie); the shard of a record is where the middle
+    The records keep the order (h, tie), repeated keys in an order of their own; the shard of a record is where the middle
     of its bytes falls when all bytes are cut into ``shards`` equal lengths, so a
     shard's bytes differ from the mean by at most one record's size.  ``slot``
-    counts a shard's records from 0 in that order.  Equal keys are told apart by
-    nothing else, so fully repeated rows get neighbouring slots in any order.
-    An empty table gives an empty result.
+    counts a shard's records from 0 in that order.  A range of keys that are all equal
+    is subdivided like any other.  An empty table gives an empty result.
     """
-    rows = written(rows, "shard-keys")
+    rows = written(rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "shard-keys")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = max(MIN_RANGES, -(-n // ROWS_PER_RANGE))
     splitters = range_splitters(rows, total, ranges)
-    ranged = rows.withColumn("range_no", _located(rows, splitters) if splitters else F.lit(0))
+    ranged = rows.withColumn("range_no", _located(splitters) if splitters else F.lit(0))
     parted = ranged.withColumn("part", _subdivided(ranged, max(1.0, total / ranges)).cast("int"))
-    inside = Window.partitionBy("range_no", "part").orderBy("h", "tie")
+    inside = Window.partitionBy("range_no", "part").orderBy(*_ORDER)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = parted.select("*", F.sum("size").over(running).alias("upto"), F.row_number().over(inside).alias("nth"))
     # One row for each part: a few thousand, whatever the input.
@@ -99,28 +104,41 @@ def shards_by_bytes(rows: DataFrame, shards: int) -> DataFrame:
     return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("at") - F.col("first")).drop("at", "first", "range_no", "part")
 
 
+def _keyed(docs: DataFrame) -> list[Column]:
+    """The key of a row: MD5 of the text and doc_id, both as longs."""
+    return [md5_long(text_of()).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("tie")]
+
+
+def _placed(docs: DataFrame, shards: int) -> DataFrame:
+    return shards_by_bytes(docs.select("doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), *_keyed(docs)), shards)
+
+
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Places documents (doc_id, text) in shards of nearly equal bytes.
 
     The key is (MD5 of the text, doc_id): equal texts are neighbours, and a large
-    group of them is divided by doc_id.  A null text counts as empty (size 1,
-    crc 0); a null doc_id sorts first.  Other columns are ignored.  Returns
-    doc_id, size, text_crc32, law, shard, slot, grown_shard.
+    group of them is divided by doc_id, or by chance where doc_ids repeat too.  A null text
+    counts as empty (size 1, crc 0); a null doc_id sorts first.  Other columns are ignored.
+    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
     """
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text_of()) + 1).cast("long").alias("size"),
-        F.crc32(text_of().cast("binary")).alias("text_crc32"),
-        md5_long(text_of()).alias("h"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("tie"),
-    )
-    placed = shards_by_bytes(rows, shards)
+    placed = _placed(docs, shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes the documents as one folder for each shard, from a result of ``shard_documents``; doc_id must be unique here."""
-    docs.join(placed.select("doc_id", "shard", "slot"), "doc_id").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 16, rows_a_file: int = 100_000) -> None:
+    """Writes all columns and rows of the documents, one folder ``shard=N`` for each shard, in the order of ``slot``.
+
+    Rows that agree in doc_id and text, null ones too, take their places in any order.
+    Columns named shard or slot are replaced; an empty table writes no folder of a shard.
+    """
+    p = prefix(docs)
+    h, tie, twin = (f"{p}{x}" for x in ("h", "tie", "twin"))
+    numbered = lambda df, order: df.withColumn(twin, F.row_number().over(Window.partitionBy(h, tie).orderBy(order)))
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    placed = numbered(_placed(docs, shards).select(F.col("h").alias(h), F.col("tie").alias(tie), "shard", "slot"), "slot")
+    keyed = numbered(docs.select(*names, *(c.alias(x) for c, x in zip(_keyed(docs), (h, tie)))), h)
+    both = keyed.join(placed, [h, tie, twin]).select(*names, "shard", "slot")
+    both.repartition("shard", F.floor(F.col("slot") / rows_a_file)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op4_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

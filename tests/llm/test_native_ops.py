@@ -64,10 +64,40 @@ def test_empty_tables(spark):
 
 
 def test_write_shards(spark, tmp_path):
-    rows = [(i, f"text {i % 7}" * (i % 5 + 1), "en", "s", 0) for i in range(60)]
+    rows = [(i, f"text {i % 7}" * (i % 5 + 1), "en", "s", i) for i in range(60)] + [(1, "text 1", "en", "s", 9), (1, "text 1", "de", "s", 8), (None, None, None, None, 7), (None, None, None, None, 7), (None, "x", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "'mine' AS _h", "doc_id AS tie")
+    sharding.write_shards(df, str(tmp_path / "out"), 4)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.n_chars, r._h) for r in got) == Counter((d, t, la, n, "mine") for d, t, la, _, n in rows)
+    assert Counter((r.shard, r.slot) for r in got) == Counter((r.shard, r.slot) for r in sharding.shard_documents(df, 4).collect())
+
+
+def test_repeated_rows_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MIN_RANGES", 16)
+    monkeypatch.setattr(mixing, "REPEATED", 10)
+    rows = [(None, None if i % 2 else "same text", "en", "s", 0) for i in range(400)] + [(i, f"text {i} " * (i % 9), "en", f"s{i % 3}", 0) for i in range(100)]
     df = spark.createDataFrame(rows, DOCS)
-    sharding.write_shards(df, sharding.shard_documents(df, 4), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    got = sharding.shard_documents(df).collect()
+    assert len(got) == 500 and max(Counter(r.shard for r in got if r["size"] == 1).values()) < 200
+    taken = mixing.plan_mix(df, 6)
+    assert taken.documents.count() == 500
+    monkeypatch.setattr(mixing, "REPEATED", 1 << 20)
+    again = mixing.plan_mix(df, 6)
+    key = lambda m: Counter(tuple(r) for r in m.documents.select("doc_id", "size", "source_size", "target", "taken", "shard").collect())
+    assert key(taken) == key(again)
+
+
+def test_long_texts(spark):
+    long = "\n".join(f"word{i % 5000} and more of it" for i in range(60_000))
+    rows = [(1, long, "en", "s", 0), (2, "short", "en", "s", 0), (3, long + "\nend", "de", "t", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(r["size"] for r in sharding.shard_documents(df).collect()) == [6, len(long) + 1, len(long) + 5]
+    got = {r.doc_id: r for r in mixing.plan_mix(df).documents.collect()}
+    assert got[1]["size"] == 300_000 and got[3].taken <= 2 * got[3]["size"]
+    lines = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+    assert lines[3].n_removed == 60_000 and lines[3].text == "end" and lines[1].n_removed == 55_000
+    turns = spark.createDataFrame([(1, 1, "a", long), (1, 2, "b", "x")], TURNS)
+    assert {r.n_chars for r in chat.rotate_perspectives(turns).collect()} == {len("<|assistant|>\n") + len(long) + 8 + len("<|user:b|>\n") + 9, len("<|assistant|>\n") + 9 + len(long) + 8 + len("<|user:a|>\n")}
 
 
 def words(text):
@@ -154,9 +184,10 @@ def test_line_windows_against_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([None, "", "a\nb", "a\nb\nc", "\n\n\n\n", "\n".join(rng.choices(["a", " b", "b", "c", "d "], k=rng.randint(1, 12)))])) for i in range(150)]
     rows += rows[:5]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS n_lines", "3 AS extra")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS k", "4 AS l", "2 AS n_lines", "5 AS _k", "3 AS extra")
     got = linededup.dedup_lines(df)
-    assert got.columns == ["doc_id", "text", "extra", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", "k", "l", "_k", "extra", "n_lines", "n_removed"]
+    assert {(r.k, r.l, r._k, r.extra) for r in got.collect()} == {(1, 4, 5, 3)}
     want = brute_lines(rows)
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == Counter((d, *want[d, t]) for d, t in rows)
 
@@ -170,14 +201,42 @@ def test_line_windows_with_null_ids(spark):
 TURNS = "conv_id long, turn long, role string, text string"
 
 
-def test_perspectives(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (1, 3, "ann", None), (2, 0, "system", "only"), (None, None, None, "n"), (3, 5000, "bob", "late"), (3, 1, "eve", "é")]
-    got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate_perspectives(spark.createDataFrame(rows, TURNS).selectExpr("*", "9 AS part", "'q' AS perspective")).collect()}
-    ann = got[1, "ann", 0]
-    assert ann.text == "<|system|>\nS<|end|>\n<|assistant|>\nhi<|end|>\n<|user:bob|>\nyo<|end|>\n<|assistant|>\n<|end|>\n<|assistant|>\n<|end|>\n"
-    assert [ann.text[int(a) : int(b)] for a, b in (s.split("-") for s in ann.mask.split(","))] == ["hi<|end|>", "<|end|>", "<|end|>"]
-    assert (ann.n_turns, ann.n_own, ann.n_chars, ann.loss_chars) == (5, 3, len(ann.text), 23)
-    assert got[1, "bob", 0].n_own == 1 and len(got[1, "bob", 0].mask.split(",")) == 1
-    assert not any(k[0] == 2 for k in got) and any(k[:2] == (None, "unknown") for k in got)
-    assert {k for k in got if k[0] == 3} == {(3, "bob", 0), (3, "bob", 4), (3, "eve", 0), (3, "eve", 4)}
-    assert got[3, "bob", 0].n_own == 0 and got[3, "bob", 0].mask == ""
+def brute_dialogue(turns, me):
+    at, out, spans = 0, [], []
+    for _, role, text in turns:
+        head = "<|assistant|>\n" if role == me else "<|system|>\n" if role == "system" else f"<|user:{role}|>\n"
+        body = f"{text}<|end|>"
+        if role == me:
+            spans.append(f"{at + len(head)}-{at + len(head) + len(body)}")
+        at += len(head) + len(body) + 1
+        out.append(head + body + "\n")
+    return "".join(out), ",".join(spans)
+
+
+@pytest.mark.parametrize("part", [1, 7, 1024])
+def test_whole_dialogues(spark, part):
+    rng = random.Random(3)
+    rows = [(1, rng.choice([None, -5, *range(3000)]), rng.choice(["ann", "bob", "system", "eve"]), rng.choice(["é", "yes", "\n", "x" * 50])) for _ in range(3000)]
+    rows += [(None, i, rng.choice(["ann", None]), None) for i in range(20)] + [(2, 0, "system", "only")]
+    got = {(r.conv_id, r.perspective): r for r in chat.rotate_perspectives(spark.createDataFrame(rows, TURNS).selectExpr("*", "1 AS part", "'q' AS perspective", "2 AS parts"), part).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "eve"), (None, "ann"), (None, "unknown")}
+    for (conv, me), r in got.items():
+        own = sorted(((t, role or "unknown", text or "") for c, t, role, text in rows if c == conv), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), x[2].encode()))
+        text, mask = brute_dialogue(own, me)
+        assert (r.text, r.mask, r.n_turns, r.n_own) == (text, mask, len(own), mask.count(",") + 1)
+        assert r.n_chars == len(text) and r.loss_chars == sum(int(z) - int(a) for a, z in (s.split("-") for s in mask.split(",")))
+
+
+def test_blocks_of_the_mix(spark):
+    rows = documents(12)
+    df = spark.createDataFrame(rows, DOCS)
+    mix, blocks = mixing.plan_mix(df, 6, 4), mixing.mixed_blocks(df, 6, 4).collect()
+    slots = mix.slots.collect()
+    assert Counter((r.out_shard, r.j) for r in slots) == Counter((b.out_shard, b.j) for b in blocks) and all(len(words(b.text)) == b.words <= 6 for b in blocks)
+    assert sum(r.taken for r in mix.documents.collect()) == sum(b.words for b in blocks)
+    # A source's slots lie shard by shard.
+    for s in {r.s for r in slots}:
+        own = [r.out_shard for r in sorted((r for r in slots if r.s == s), key=lambda r: r.j)]
+        assert own == sorted(own)
+    text = {w for _, t, *_ in rows for w in words(t)}
+    assert all(w in text for b in blocks for w in words(b.text))
