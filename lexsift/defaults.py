@@ -34,10 +34,10 @@ document,Document complet,,
 
 WHITELIST_CSV = """\
 expression,reason
-sante financiere,Expression financiere non medicale
-bilan de sante du contrat,Expression commerciale interne
-parti du contrat,Terme juridique non politique
-garantie sante financiere,Expression non medicale
+sante financiere,about money
+bilan de sante du contrat,about a contract
+parti du contrat,a side of a contract
+garantie sante financiere,about money
 """
 
 SYNONYMS_CSV = """\

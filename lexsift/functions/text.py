@@ -50,13 +50,17 @@ def fold_text(text: str | None) -> str | None:
     return re.sub(r"\s+", " ", text.casefold()).strip()
 
 
+#: Characters that ``fold`` may not fold as ``fold_text`` does: all but Latin ones, marks and common punctuation.
+_OTHER = r"[^\x00-\x1B\x20-\u024F\u0300-\u034E\u0350-\u036F\u1E00-\u1EFF\u2010\u2012-\u2016\u2018-\u2023\u2030-\u2032\u2039-\u203B\u20A0-\u20A7\u20A9-\u20C0]"
+
+
 def fold_exact(col: Column) -> Column:
-    """``fold_text`` for any script, as an Arrow function."""
+    """``fold_text`` for any script: inside the JVM where that is exact, by an Arrow function for texts with other characters."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(fold_text)
+        return texts.map(fold_text, na_action="ignore")
 
-    return F.pandas_udf(T.StringType())(run)(col)
+    return F.coalesce(F.pandas_udf(T.StringType())(run)(F.when(col.rlike(_OTHER), col)), fold(col))
 
 
 @functools.cache

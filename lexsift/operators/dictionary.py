@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .. import defaults
 from ..config import DetectionRule, Tolerated
 from ..functions import text as X
-from .findings import MATCH, best_of_each_rule, dictionary_findings
+from .findings import MATCH, Cut, a_section, best_of_each_rule, finding_rows, rule_findings
 from .similarity import FuzzySearch, FuzzyTerm
 
 _TERM = "struct<rule:int,order:int,synonym:boolean,term:string,folded:string,word:string,stem:string,exact:double,root:double>"
@@ -52,13 +52,13 @@ def _literal(rows: dict[str, list[dict]], section: Column) -> Column:
     return F.coalesce(F.element_at(every, section), F.array().cast(f"array<{_TERM}>"))
 
 
-def _match(t: Column, score: str, detector: int, kind: Column, matched: Column) -> Column:
-    return F.struct(t["rule"].alias("rule"), (-t[score]).alias("minus_score"), (-t["order"]).alias("minus_term"), F.lit(detector).alias("detector"), kind.alias("kind"), matched.alias("matched")).cast(MATCH)
+def _match(t: Column, score: str, detector: int, kind: Column, matched: Column, folded: Column) -> Column:
+    return F.struct(t["rule"].alias("rule"), (-t[score]).alias("minus_score"), (-t["order"]).alias("minus_term"), F.lit(detector).alias("detector"), kind.alias("kind"), matched.alias("matched"), folded.alias("folded")).cast(MATCH)
 
 
 def exact_matches(terms: Column, folded: Column) -> Column:
     hits = F.filter(terms, lambda t: X.has_word(folded, t["folded"]))
-    return F.transform(hits, lambda t: _match(t, "exact", 0, F.when(t["synonym"], "synonym").otherwise("exact"), t["term"]))
+    return F.transform(hits, lambda t: _match(t, "exact", 0, F.when(t["synonym"], "synonym").otherwise("exact"), t["term"], t["folded"]))
 
 
 def root_matches(terms: Column, words: Column, stems: Column, common: Column) -> Column:
@@ -66,13 +66,12 @@ def root_matches(terms: Column, words: Column, stems: Column, common: Column) ->
     pairs = F.arrays_zip(words.alias("w"), stems.alias("s"))
     near = F.filter(terms, lambda t: t["stem"].isNotNull() & F.array_contains(common, t["stem"]))
     first = F.transform(near, lambda t: F.struct(t.alias("t"), F.get(F.filter(pairs, lambda p: (p["s"] == t["stem"]) & (p["w"] != t["word"])), F.lit(0))["w"].alias("w")))
-    return F.transform(F.filter(first, lambda x: x["w"].isNotNull()), lambda x: _match(x["t"], "root", 1, F.lit("root"), x["w"]))
+    return F.transform(F.filter(first, lambda x: x["w"].isNotNull()), lambda x: _match(x["t"], "root", 1, F.lit("root"), x["w"], x["w"]))
 
 
 def fuzzy_function(rows: dict[str, list[dict]], split: Callable[[str], list[str]] = X.folded_words) -> Callable[[Column, Column], Column]:
     """An Arrow function (folded text, section) -> fuzzy matches."""
     terms = {s: [FuzzyTerm(r["rule"], r["order"], r["folded"], r["size"], r["threshold"], -r["fuzzy"]) for r in rs] for s, rs in rows.items()}
-    match_type = T.ArrayType(T.StructType([T.StructField("rule", T.IntegerType()), T.StructField("minus_score", T.DoubleType()), T.StructField("minus_term", T.IntegerType()), T.StructField("detector", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("matched", T.StringType())]))
 
     def run(texts: pd.Series, sections: pd.Series) -> pd.Series:
         searches = {s: FuzzySearch(ts) for s, ts in terms.items()}
@@ -80,28 +79,46 @@ def fuzzy_function(rows: dict[str, list[dict]], split: Callable[[str], list[str]
         for text, section in zip(texts, sections):
             search = searches.get(section)
             found = search(split(text)) if search and text else []
-            out.append([{"rule": t.rule, "minus_score": t.minus_score, "minus_term": -t.order, "detector": 2, "kind": "fuzzy", "matched": c} for t, c in found])
+            out.append([{"rule": t.rule, "minus_score": t.minus_score, "minus_term": -t.order, "detector": 2, "kind": "fuzzy", "matched": c, "folded": c} for t, c in found])
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(match_type)(run)
+    return F.pandas_udf(T.DataType.fromDDL(f"array<{MATCH}>"))(run)
 
 
-def dictionary_matches(sections: DataFrame, rules: Sequence[DetectionRule], names: Sequence[str], fuzzy: bool = True, exact_fold: bool = True) -> DataFrame:
-    """Rows (..., section, section_text) that aren't blank, with ``compact``, ``folded`` and ``matches``: the best of each rule."""
-    rows = {s: found for s in names if (found := term_rows(rules, s))}
+def _matched(df: DataFrame, cut: Cut, rows: dict[str, list[dict]], fuzzy: bool, exact_fold: bool) -> DataFrame:
+    """Adds ``compact``, ``folded`` and ``matches``, the best of each rule."""
     fold = X.fold_exact if exact_fold else X.fold
-    base = sections.where(F.col("section").isin(list(rows))) if rows else sections.where(F.lit(False))
-    base = base.withColumn("compact", X.compact(F.col("section_text"))).where("compact <> ''")
-    base = base.withColumn("folded", fold(F.col("compact"))).withColumn("words", X.tokens(F.col("folded")))
+    c, n = cut.col, cut.name
+    df = df.withColumn(n("compact"), X.compact(cut.text))
+    df = df.withColumn(n("folded"), fold(c("compact"))).withColumn(n("words"), X.tokens(c("folded")))
     roots = sorted({r["stem"] for rs in rows.values() for r in rs if r["stem"]})
-    base = base.withColumn("stems", X.stems(F.col("words")))
-    base = base.withColumn("common", F.array_intersect(F.col("stems"), F.array(*map(F.lit, roots)).cast("array<string>"))).withColumn("terms", _literal(rows, F.col("section")))
-    parts = [exact_matches(F.col("terms"), F.col("folded")), F.when(F.size("common") > 0, root_matches(F.col("terms"), F.col("words"), F.col("stems"), F.col("common"))).otherwise(F.array().cast(f"array<{MATCH}>"))]
+    df = df.withColumn(n("stems"), X.stems(c("words")))
+    df = df.withColumn(n("common"), F.array_intersect(c("stems"), F.array(*map(F.lit, roots)).cast("array<string>"))).withColumn(n("terms"), _literal(rows, cut.section))
+    parts = [exact_matches(c("terms"), c("folded")), F.when(F.size(c("common")) > 0, root_matches(c("terms"), c("words"), c("stems"), c("common"))).otherwise(F.array().cast(f"array<{MATCH}>"))]
     if fuzzy:
-        parts.append(fuzzy_function(rows)(F.col("folded"), F.col("section")).cast(f"array<{MATCH}>"))
-    return base.withColumn("all", F.concat(*parts)).withColumn("matches", best_of_each_rule(F.col("all"))).drop("all", "terms", "stems", "common", "words")
+        parts.append(fuzzy_function(rows)(c("folded"), cut.section).cast(f"array<{MATCH}>"))
+    return df.withColumn(n("all"), F.concat(*parts)).withColumn(n("matches"), best_of_each_rule(c("all"))).drop(*map(n, ("all", "terms", "stems", "common", "words")))
+
+
+def _rows(rules: Sequence[DetectionRule], names: Sequence[str]) -> dict[str, list[dict]]:
+    return {s: found for s in names if (found := term_rows(rules, s))}
+
+
+def dictionary_matches(sections: DataFrame, rules: Sequence[DetectionRule], names: Sequence[str], fuzzy: bool = True, exact_fold: bool = True) -> DataFrame:
+    """Rows (..., section, section_text) of sections with rules, with ``compact``, ``folded`` and ``matches``: the best of each rule."""
+    rows = _rows(rules, names)
+    base = sections.where(F.col("section").isin(list(rows))) if rows else sections.where(F.lit(False))
+    return _matched(base, a_section(), rows, fuzzy, exact_fold)
+
+
+def dictionary_found(df: DataFrame, cut: Cut, section: str, rules: Sequence[DetectionRule], whitelist: Sequence[Tolerated] = (), fuzzy: bool = True, exact_fold: bool = True) -> DataFrame:
+    """Adds the findings ``generic`` of one section in rows of documents."""
+    rows = _rows(rules, [section])
+    if not rows:
+        return df.withColumn(cut.name("generic"), cut.none())
+    return rule_findings(_matched(df, cut, rows, fuzzy, exact_fold), cut, rules, whitelist, "generic", 0).drop(cut.name("compact"))
 
 
 def detect_by_dictionary(sections: DataFrame, rules: Sequence[DetectionRule], names: Sequence[str], whitelist: Sequence[Tolerated] = (), fuzzy: bool = True, exact_fold: bool = True) -> DataFrame:
-    """Findings of the dictionary branch: one at most for each section and rule."""
-    return dictionary_findings(dictionary_matches(sections, rules, names, fuzzy, exact_fold), rules, whitelist, "generic", 0)
+    """Findings of the dictionary branch in rows of sections: one at most for each section and rule."""
+    return finding_rows(rule_findings(dictionary_matches(sections, rules, names, fuzzy, exact_fold), a_section(), rules, whitelist, "generic", 0), "generic")

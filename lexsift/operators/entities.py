@@ -8,15 +8,16 @@ from collections.abc import Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import defaults
 from ..functions import text as X
-from .findings import finding_rows
+from .findings import Cut, a_finding, a_section, finding_rows
 
-_ENTITY = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("text", T.StringType()), T.StructField("score", T.DoubleType())]))
+#: An entity; its label also folded.
+_ENTITY = "struct<label:string,text:string,score:double,folded:string>"
 
 
 class EntityProvider(Protocol):
@@ -62,38 +63,47 @@ def clean_labels(labels: Sequence[str] | None) -> tuple[str, ...]:
     return tuple(x for x in (label.strip() for label in (labels or defaults.ENTITY_LABELS)) if x)
 
 
-def detect_entities(sections: DataFrame, provider: EntityProvider, labels: Sequence[str] | None = None, threshold: float = defaults.ENTITY_THRESHOLD) -> DataFrame:
-    """Findings of the entity branch: one for each entity with a label and a text, in all sections that aren't blank."""
+def entities_found(df: DataFrame, cut: Cut, provider: EntityProvider, labels: Sequence[str] | None = None, threshold: float = defaults.ENTITY_THRESHOLD) -> DataFrame:
+    """Adds the findings ``gliner`` of one section: one for each entity with a label and a text."""
     wanted = list(clean_labels(labels))
+    if not wanted:
+        return df.withColumn(cut.name("gliner"), cut.none())
 
     def run(texts: pd.Series) -> pd.Series:
         found = []
         for text in texts:
-            entities = provider.predict_entities(text, wanted, threshold)
+            entities = provider.predict_entities(text, wanted, threshold) if text else ()
             rows = [(str(e.get("label") or "").strip(), str(e.get("text") or "").strip(), e.get("score")) for e in entities]
-            found.append([{"label": a, "text": b, "score": None if s is None else round(float(s), 2)} for a, b, s in rows if a and b])
+            found.append([{"label": a, "text": b, "score": None if s is None else round(float(s), 2), "folded": X.fold_text(a)} for a, b, s in rows if a and b])
         return pd.Series(found, dtype=object)
 
-    base = sections.withColumn("compact", X.compact(F.col("section_text"))).where("compact <> ''" if wanted else "false")
-    one = base.select("*", F.posexplode_outer(F.pandas_udf(_ENTITY)(run)("compact")).alias("at", "e")).where("e IS NOT NULL")
-    folded = X.fold_exact(F.col("label"))
-    one = one.select("*", F.col("e.label").alias("label")).withColumn("folded_label", folded)
-    code, score = X.label_code(F.col("folded_label")), F.col("e.score")
-    values = {
-        "code": code,
-        "severity": F.lit("medium"),
-        "title": F.col("label"),
-        "detail": F.concat(F.lit("GLiNER detected '"), F.col("e.text"), F.lit("' as '"), F.col("label"), F.lit("'.")),
-        "matched_term": F.col("e.text"),
-        "alert_level": F.lit("alerte"),
-        "category": F.replace(F.col("folded_label"), F.lit(" "), F.lit("_")),
-        "score": score,
-        "branch_score": score,
-        "gliner_score": score,
-        "detection_type": F.lit("entity"),
-        "detection_engine": F.lit("gliner"),
-        "rule_id": code,
-        "rule_scope": F.lit("gliner"),
-        "regulatory_family": F.lit("gliner"),
-    }
-    return finding_rows(one, values, 2, F.col("at"))
+    def finding(e: Column, at: Column) -> Column:
+        code, score = X.label_code(e["folded"]), e["score"]
+        values = {
+            "code": code,
+            "severity": F.lit("medium"),
+            "title": e["label"],
+            "detail": F.concat(F.lit("GLiNER detected '"), e["text"], F.lit("' as '"), e["label"], F.lit("'.")),
+            "matched_term": e["text"],
+            "alert_level": F.lit("alerte"),
+            "category": F.replace(e["folded"], F.lit(" "), F.lit("_")),
+            "score": score,
+            "branch_score": score,
+            "gliner_score": score,
+            "detection_type": F.lit("entity"),
+            "detection_engine": F.lit("gliner"),
+            "rule_id": code,
+            "rule_scope": F.lit("gliner"),
+            "regulatory_family": F.lit("gliner"),
+        }
+        return a_finding(cut, values, 2, at)
+
+    df = df.withColumn(cut.name("compact"), X.compact(cut.text))
+    df = df.withColumn(cut.name("entities"), F.pandas_udf(T.DataType.fromDDL(f"array<{_ENTITY}>"))(run)(cut.col("compact")))
+    df = df.withColumn(cut.name("evidence"), F.when(F.size(cut.col("entities")) > 0, X.shorten(cut.col("compact"))))
+    return df.withColumn(cut.name("gliner"), F.transform(cut.col("entities"), finding)).drop(*map(cut.name, ("compact", "entities", "evidence")))
+
+
+def detect_entities(sections: DataFrame, provider: EntityProvider, labels: Sequence[str] | None = None, threshold: float = defaults.ENTITY_THRESHOLD) -> DataFrame:
+    """Findings of the entity branch in rows of sections: one for each entity with a label and a text, in all sections that aren't blank."""
+    return finding_rows(entities_found(sections, a_section(), provider, labels, threshold), "gliner")

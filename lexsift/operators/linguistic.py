@@ -15,7 +15,7 @@ from .. import defaults
 from ..config import DetectionRule, Tolerated
 from ..functions import text as X
 from .dictionary import scoped
-from .findings import MATCH, best_of_each_rule, dictionary_findings
+from .findings import MATCH, Cut, a_section, best_of_each_rule, finding_rows, rule_findings
 from .similarity import FuzzySearch, FuzzyTerm
 
 Word = tuple[str, str]  # folded text and folded lemma
@@ -92,12 +92,12 @@ def _terms(rules: Sequence[DetectionRule], section: str, provider: LemmaProvider
 class _Search:
     """All ways of detection for the terms of one section."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], fuzzy: bool = True):
         import re
 
         self.rows = rows
         self.patterns = [re.compile(rf"(?<!\w){re.escape(r['folded'])}(?!\w)", re.I) for r in rows]
-        self.fuzzy = FuzzySearch([FuzzyTerm(r["rule"], i, r["folded"], len(r["words"]), r["threshold"], 0.0) for i, r in enumerate(rows)])
+        self.fuzzy = FuzzySearch([FuzzyTerm(r["rule"], i, r["folded"], len(r["words"]), r["threshold"], 0.0) for i, r in enumerate(rows)]) if fuzzy else None
 
     def __call__(self, folded: str, words: list[Word]) -> Iterator[tuple[dict, str, str, int]]:
         surfaces, lemmas = [w for w, _ in words], [m for _, m in words]
@@ -122,34 +122,42 @@ class _Search:
                 at = [i for i in by_stem.get(X.stem(own[0]), ()) if lemmas[i] != own[0]]
                 if at:
                     yield r, "root", surfaces[min(at)], 2
-        for term, candidate in self.fuzzy(surfaces):
+        for term, candidate in self.fuzzy(surfaces) if self.fuzzy else ():
             yield self.rows[term.order], "fuzzy", candidate, 3
 
 
-def linguistic_matches(sections: DataFrame, rules: Sequence[DetectionRule], names: Sequence[str], provider: LemmaProvider, synonyms: Mapping[str, Sequence[str]]) -> DataFrame:
-    rows = {s: found for s in names if (found := _terms(rules, s, provider, synonyms))}
-    kinds = {"rule": T.IntegerType(), "minus_score": T.DoubleType(), "minus_term": T.IntegerType(), "detector": T.IntegerType(), "kind": T.StringType(), "matched": T.StringType()}
+def _matched(df: DataFrame, cut: Cut, rows: dict[str, list[dict]], provider: LemmaProvider, fuzzy: bool = True) -> DataFrame:
+    """Adds ``compact``, ``folded`` and ``matches``, the best of each rule."""
 
     def run(texts: pd.Series, folded: pd.Series, section: pd.Series) -> pd.Series:
-        searches: dict[str, Callable] = {s: _Search(r) for s, r in rows.items()}
+        searches: dict[str, Callable] = {s: _Search(r, fuzzy) for s, r in rows.items()}
         return pd.Series(
             [
                 [
-                    {"rule": r["rule"], "minus_score": -r[kind], "minus_term": -r["order"], "detector": detector, "kind": r["kind"] if kind == "exact" else kind, "matched": matched}
-                    for r, kind, matched, detector in searches[s](f, provider.words(t))
+                    {"rule": r["rule"], "minus_score": -r[kind], "minus_term": -r["order"], "detector": detector, "kind": r["kind"] if kind == "exact" else kind, "matched": matched, "folded": r["folded"] if kind == "exact" else matched}
+                    for r, kind, matched, detector in (searches[s](f, provider.words(t)) if t else ())
                 ]
                 for t, f, s in zip(texts, folded, section)
             ],
             dtype=object,
         )
 
-    base = sections.where(F.col("section").isin(list(rows))) if rows else sections.where(F.lit(False))
-    base = base.withColumn("compact", X.compact(F.col("section_text"))).where("compact <> ''").withColumn("folded", X.fold_exact(F.col("compact")))
-    udf = F.pandas_udf(T.ArrayType(T.StructType([T.StructField(k, v) for k, v in kinds.items()])))(run)
-    found = base.withColumn("found", udf("compact", "folded", "section").cast(f"array<{MATCH}>"))
-    return found.withColumn("matches", best_of_each_rule(F.col("found"))).drop("found")
+    df = df.withColumn(cut.name("compact"), X.compact(cut.text)).withColumn(cut.name("folded"), X.fold_exact(cut.col("compact")))
+    udf = F.pandas_udf(T.DataType.fromDDL(f"array<{MATCH}>"))(run)
+    found = df.withColumn(cut.name("found"), udf(cut.col("compact"), cut.col("folded"), cut.section))
+    return found.withColumn(cut.name("matches"), best_of_each_rule(cut.col("found"))).drop(cut.name("found"))
+
 
+def linguistic_found(df: DataFrame, cut: Cut, section: str, rules: Sequence[DetectionRule], provider: LemmaProvider, synonyms: Mapping[str, Sequence[str]], whitelist: Sequence[Tolerated] = (), fuzzy: bool = True) -> DataFrame:
+    """Adds the findings ``spacy`` of one section in rows of documents."""
+    rows = _terms(rules, section, provider, synonyms)
+    if not rows:
+        return df.withColumn(cut.name("spacy"), cut.none())
+    return rule_findings(_matched(df, cut, {section: rows}, provider, fuzzy), cut, rules, whitelist, "spacy", 1, " with spaCy").drop(cut.name("compact"))
 
-def detect_by_lemmas(sections: DataFrame, rules: Sequence[DetectionRule], names: Sequence[str], provider: LemmaProvider, synonyms: Mapping[str, Sequence[str]], whitelist: Sequence[Tolerated] = ()) -> DataFrame:
-    """Findings of the linguistic branch: one at most for each section and rule."""
-    return dictionary_findings(linguistic_matches(sections, rules, names, provider, synonyms), rules, whitelist, "spacy", 1, " with spaCy")
+
+def detect_by_lemmas(sections: DataFrame, rules: Sequence[DetectionRule], names: Sequence[str], provider: LemmaProvider, synonyms: Mapping[str, Sequence[str]], whitelist: Sequence[Tolerated] = (), fuzzy: bool = True) -> DataFrame:
+    """Findings of the linguistic branch in rows of sections: one at most for each section and rule."""
+    rows = {s: found for s in names if (found := _terms(rules, s, provider, synonyms))}
+    base = sections.where(F.col("section").isin(list(rows))) if rows else sections.where(F.lit(False))
+    return finding_rows(rule_findings(_matched(base, a_section(), rows, provider, fuzzy), a_section(), rules, whitelist, "spacy", 1, " with spaCy"), "spacy")

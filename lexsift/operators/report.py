@@ -21,35 +21,23 @@ ENGINES = ("generic", "spacy", "gliner", "regex")
 _LIST = "array<struct<" + ",".join(f"{n}:{k}" for n, k in FINDING_FIELDS) + ">>"
 
 
-def _join_documents(documents: DataFrame, by_document: DataFrame) -> DataFrame:
-    """Documents with what is known by name and path (columns f_name, f_path, ...); null names and paths meet too."""
-    same = F.col("document_name").eqNullSafe(F.col("f_name")) & F.col("source_path").eqNullSafe(F.col("f_path"))
-    return documents.join(by_document, same, "left").drop("f_name", "f_path")
-
-
-def _renamed(findings: DataFrame) -> DataFrame:
-    return findings.withColumnsRenamed({"document_name": "f_name", "source_path": "f_path"})
-
-
-def by_name(findings: DataFrame, lists: bool = False) -> DataFrame:
-    """Counts and best scores by engine of each document that has findings, and with ``lists`` the findings in order: one aggregate."""
-    aggs = [F.count("*").alias("finding_count")]
-    for e in ENGINES:
-        aggs += [F.count_if(F.col("detection_engine") == e).alias(f"{e}_finding_count"), F.max(F.when(F.col("detection_engine") == e, F.col(f"{e}_score"))).alias(f"{e}_max_score")]
-    if lists:
-        one = F.struct(*ORDER_COLUMNS, F.struct(*(n for n, _ in FINDING_FIELDS)).alias("finding"))
-        aggs.append(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["finding"]).alias("findings"))
-    return _renamed(findings).groupBy("f_name", "f_path").agg(*aggs)
+def _of_engine(engine: str) -> Column:
+    return F.filter("found", lambda f: f["detection_engine"] == engine)
 
 
 def _metadata(known: Mapping[str, object]) -> Column:
+    """What is known of the run, and counts and best scores of the row's findings."""
+
     def value(name: str, kind: str) -> Column:
+        if name == "finding_count":
+            return F.size("found")
         if name == "has_findings":
-            return F.coalesce(F.col("finding_count"), F.lit(0)) > 0
-        if name.endswith("finding_count"):
-            return F.coalesce(F.col(name), F.lit(0))
+            return F.size("found") > 0
+        if name.endswith("_finding_count"):
+            return F.size(_of_engine(name.removesuffix("_finding_count")))
         if name.endswith("_max_score"):
-            return F.col(name)
+            engine = name.removesuffix("_max_score")
+            return F.array_max(F.transform(_of_engine(engine), lambda f: f[f"{engine}_score"]))
         v = known.get(name)
         if isinstance(v, list):
             return F.array(*map(F.lit, v)).cast(kind)
@@ -60,9 +48,9 @@ def _metadata(known: Mapping[str, object]) -> Column:
     return F.struct(*(value(n, k).cast(k).alias(n) for n, k in METADATA_FIELDS))
 
 
-def document_metadata(documents: DataFrame, findings: DataFrame, known: Mapping[str, object]) -> DataFrame:
-    """(document_name, source_path, metadata): counts and scores, and what is known of the run, for every document."""
-    return _join_documents(documents.select(*KEYS), by_name(findings)).select(*KEYS, _metadata(known).alias("metadata"))
+def document_metadata(analyzed: DataFrame, known: Mapping[str, object]) -> DataFrame:
+    """(document_name, source_path, metadata): counts and scores, and what is known of the run, for every document (.., found)."""
+    return analyzed.select(*KEYS, _metadata(known).alias("metadata"))
 
 
 def with_errors(metadata: DataFrame) -> DataFrame:
@@ -70,22 +58,26 @@ def with_errors(metadata: DataFrame) -> DataFrame:
     return metadata.where(F.size("metadata.branch_errors") > 0)
 
 
-def flat_findings(documents: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row for each finding with its document's number of findings; one of nulls for a document without any.
+def flat_findings(analyzed: DataFrame) -> DataFrame:
+    """One row for each finding with its document's number of findings; one of nulls for a document (.., found) without any."""
+    each = analyzed.select(*KEYS, F.size("found").cast("long").alias("finding_count"), F.inline_outer("found"))
+    return each.select(*FLAT_COLUMNS)
 
-    Documents are told apart by name and path.
-    """
-    both = _join_documents(documents.select(*KEYS), _renamed(findings))
-    count = F.count("detection_engine").over(Window.partitionBy(*KEYS))  # on the join's partitioning
-    return both.withColumn("finding_count", count).select(*FLAT_COLUMNS)
 
+def nested_analyses(analyzed: DataFrame, known: Mapping[str, object], sections: Sequence[Section]) -> DataFrame:
+    """One row for each document (.., found): name, path, compact text, sections, findings in order, metadata.  Texts stay where they are."""
+    found = F.transform("found", lambda f: F.struct(*(f[n].alias(n) for n, _ in FINDING_FIELDS))).cast(_LIST)
+    mapped = with_section_map(analyzed, sections)
+    return mapped.select(*KEYS, X.compact(F.col("extracted_text")).alias("extracted_text"), "sections", found.alias("findings"), _metadata(known).alias("metadata"))
 
-def nested_analyses(documents: DataFrame, findings: DataFrame, known: Mapping[str, object], sections: Sequence[Section]) -> DataFrame:
-    """One row for each document: name, path, compact text, sections, findings in order, metadata."""
-    both = _join_documents(with_section_map(documents, sections), by_name(findings, lists=True))
-    text = F.col("extracted_text")
-    found = F.coalesce(F.col("findings").cast(_LIST), F.array().cast(_LIST))
-    return both.select(*KEYS, X.compact(text).alias("extracted_text"), "sections", found.alias("findings"), _metadata(known).alias("metadata"))
+
+def corpus_summary(analyzed: DataFrame) -> DataFrame:
+    """The same as ``summary``, of documents (.., found): one aggregate of numbers, and one of codes."""
+    n = F.size("found").cast("long")
+    head = analyzed.agg(F.count("*").alias("document_count"), F.count_if(n > 0).alias("documents_with_findings"), F.coalesce(F.sum(n), F.lit(0)).alias("total_findings"))
+    codes = analyzed.select(F.explode(F.transform("found", lambda f: f["code"])).alias("code")).where("code <> ''").groupBy("code").agg(F.count("*").alias("n"))
+    codes = codes.agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("finding_codes"))
+    return head.withColumn("one", F.lit(1)).join(codes.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def summary(flat: DataFrame) -> DataFrame:
@@ -184,6 +176,19 @@ def case_rows(cases: DataFrame, findings: DataFrame, engine: str = "none") -> Da
     return both.withColumn("predicted_key", key).withColumn("detection_count", F.col("detection_engine").isNotNull().cast("int")).withColumn("detection_engine", F.coalesce("detection_engine", F.lit(engine)))
 
 
+def by_case_and_score(rows: DataFrame) -> DataFrame:
+    """Rows of cases by (case_id, engine, best score first); what else tells rows apart settles ties."""
+    return rows.orderBy("case_id", "detection_engine", F.desc_nulls_last("branch_score"), "predicted_key", "matched_term", "detection_type")
+
+
+def placed(ordered: DataFrame) -> DataFrame:
+    """Adds ``place``, from 1, in the order that the rows are in: each partition counts on from those before it."""
+    rows = ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return rows.join(F.broadcast(starts), "part").withColumn("place", F.col("first") + F.col("at") + 1).drop("part", "at", "first")
+
+
 def branch_summary(rows: DataFrame) -> DataFrame:
     """Of each engine: cases, those with findings and without, findings, mean and best of the cases' best scores."""
     each = rows.groupBy("detection_engine", "case_id").agg(F.sum("detection_count").alias("n"), F.max("branch_score").alias("best"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Section
 from ..functions import text as X
+from .findings import Cut
 
 _EDGE = " :-"
 
@@ -56,9 +57,17 @@ def with_sections(docs: DataFrame, sections: Sequence[Section], text: str = "ext
     return cut.select(*docs.columns, F.inline_outer(F.array(*rows)))
 
 
-def with_section_map(docs: DataFrame, sections: Sequence[Section], text: str = "extracted_text") -> DataFrame:
-    """The documents with all their sections as one map, ``sections``."""
+def with_cuts(docs: DataFrame, sections: Sequence[Section], text: str = "extracted_text") -> tuple[DataFrame, list[tuple[str, Cut]]]:
+    """The documents with the text of each section in a column of its own, and where each stands."""
     sections = effective(sections)
     cut, texts = _cut(docs, sections, text)
-    pairs = [x for s, t in zip(sections, texts) for x in (F.lit(s.section_id), t)]
+    named = cut.withColumns({f"s{i}_text": t for i, t in enumerate(texts)}) if texts else cut
+    named = named.select(*docs.columns, *(f"s{i}_text" for i in range(len(texts))))
+    return named, [(s.section_id, Cut(F.lit(s.section_id), F.lit(i), F.col(f"s{i}_text"), f"s{i}_")) for i, s in enumerate(sections)]
+
+
+def with_section_map(docs: DataFrame, sections: Sequence[Section], text: str = "extracted_text") -> DataFrame:
+    """The documents with all their sections as one map, ``sections``."""
+    cut, cuts = with_cuts(docs, sections, text)
+    pairs = [x for s, c in cuts for x in (F.lit(s), c.text)]
     return cut.select(*docs.columns, (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("sections"))

@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from .. import config, defaults
 from ..config import DetectionRule, Section, Tolerated
 from ..functions import text as X
-from ..operators.dictionary import detect_by_dictionary
-from ..operators.entities import EntityProvider, ModelEntities, clean_labels, detect_entities
-from ..operators.findings import ORDER_COLUMNS
-from ..operators.identifiers import Pattern, detect_identifiers
-from ..operators.linguistic import LemmaProvider, ModelLemmas, detect_by_lemmas
-from ..operators.report import document_metadata, flat_findings, nested_analyses
-from ..operators.sections import effective, with_sections
-from ..schemas import FINDING_FIELDS
+from ..operators import report
+from ..operators.dictionary import detect_by_dictionary, dictionary_found
+from ..operators.entities import EntityProvider, ModelEntities, clean_labels, entities_found
+from ..operators.findings import FOUND, ORDER_COLUMNS, finding_rows
+from ..operators.identifiers import Pattern, identifiers_found, searched
+from ..operators.linguistic import LemmaProvider, ModelLemmas, linguistic_found
+from ..operators.sections import effective, with_cuts, with_sections
 from ..sources import scans, sinks
 
 
@@ -40,20 +39,32 @@ class Options:
     entity_provider: EntityProvider | None = None
     identifier_patterns: tuple[Pattern, ...] = defaults.IDENTIFIER_PATTERNS
     exact_fold: bool = True
+    fuzzy: bool = True
 
 
 @dataclass
 class Analysis:
-    """Findings of documents (document_name, source_path, extracted_text), and what led to them.  Nothing has run yet."""
+    """Documents (document_name, source_path, extracted_text, found: their findings in order), and what led to them.  Nothing has run yet.
 
-    documents: DataFrame
-    findings: DataFrame
+    Findings stay in their document's row up to the results, so no result needs a join.
+    """
+
+    analyzed: DataFrame
     rules: list[DetectionRule]
     sections: list[Section]
     whitelist: list[Tolerated]
     options: Options
     branch_errors: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def documents(self) -> DataFrame:
+        return self.analyzed.drop("found")
+
+    @property
+    def findings(self) -> DataFrame:
+        """A row for each finding."""
+        return finding_rows(self.analyzed, "found")
+
     def ordered(self) -> DataFrame:
         """The findings in the order of documents, branches, sections and rules."""
         return self.findings.orderBy("document_name", "source_path", *ORDER_COLUMNS)
@@ -79,15 +90,19 @@ class Analysis:
 
     def metadata(self) -> DataFrame:
         """(document_name, source_path, metadata) of every document."""
-        return document_metadata(self.documents, self.findings, self._known())
+        return report.document_metadata(self.analyzed, self._known())
 
     def flat(self) -> DataFrame:
         """One row for each finding, and one of nulls for a document without any."""
-        return flat_findings(self.documents, self.findings)
+        return report.flat_findings(self.analyzed)
 
     def nested(self) -> DataFrame:
         """One row for each document, with its sections, findings and metadata."""
-        return nested_analyses(self.documents, self.findings, self._known(), self.sections)
+        return report.nested_analyses(self.analyzed, self._known(), self.sections)
+
+    def summary(self) -> DataFrame:
+        """document_count, documents_with_findings, total_findings, and finding_codes as a map."""
+        return report.corpus_summary(self.analyzed)
 
 
 def _usable(provider: object) -> str | None:
@@ -120,35 +135,30 @@ def analyze(
     whitelist = list(config.load_whitelist() if whitelist is None else whitelist)
     o = Options(branches=config.resolve_branches(enabled_branches), **options)
     documents = documents.select("document_name", "source_path", F.coalesce("extracted_text", F.lit("")).alias("extracted_text"))
+    wanted, errors = set(o.branches), {}
+    lemmas, entities = o.lemma_provider or ModelLemmas(o.spacy_model), o.entity_provider or ModelEntities(o.gliner_model, o.gliner_cache_dir, o.gliner_source_model, o.gliner_local_files_only)
+    for branch, provider in (("spacy", lemmas), ("gliner", entities)):
+        if branch in wanted and (branch == "spacy" or clean_labels(o.gliner_labels)) and (why := _usable(provider)):
+            errors[branch] = why
+    synonyms = config.load_synonyms(o.spacy_synonyms_path) if "spacy" in wanted - set(errors) else {}
     names = [s.section_id for s in effective(sections)]
-    cut = with_sections(documents, sections)
-    errors: dict[str, str] = {}
-    parts: list[DataFrame] = []
-    wanted = set(o.branches)
-    if "generic" in wanted:
-        parts.append(detect_by_dictionary(cut, rules, names, whitelist, exact_fold=o.exact_fold))
-    if "spacy" in wanted:
-        lemmas = o.lemma_provider or ModelLemmas(o.spacy_model)
-        if why := _usable(lemmas):
-            errors["spacy"] = why
-        else:
-            parts.append(detect_by_lemmas(cut, rules, names, lemmas, config.load_synonyms(o.spacy_synonyms_path), whitelist))
-    if "gliner" in wanted:
-        entities = o.entity_provider or ModelEntities(o.gliner_model, o.gliner_cache_dir, o.gliner_source_model, o.gliner_local_files_only)
-        why = _usable(entities) if clean_labels(o.gliner_labels) else None
-        if why:
-            errors["gliner"] = why
-        else:
-            parts.append(detect_entities(cut, entities, o.gliner_labels, o.gliner_threshold))
-    if "regex" in wanted:
-        parts.append(detect_identifiers(cut, names, o.identifier_patterns))
-    found = functools.reduce(DataFrame.unionByName, parts) if parts else no_findings(documents)
-    return Analysis(documents, found, rules, sections, whitelist, o, errors)
-
-
-def no_findings(documents: DataFrame) -> DataFrame:
-    fields = [F.lit(None).cast(k).alias(n) for n, k in FINDING_FIELDS]
-    return documents.select("document_name", "source_path", *(F.lit(0).alias(c) for c in ORDER_COLUMNS), *fields).where("false")
+    rows, cuts = with_cuts(documents, sections)
+    found: list[str] = []
+    for branch in ("generic", "spacy", "gliner", "regex"):  # the order of a document's findings
+        for section, cut in cuts if branch in wanted - set(errors) else ():
+            if branch == "generic":
+                rows = dictionary_found(rows, cut, section, rules, whitelist, o.fuzzy, o.exact_fold)
+            elif branch == "spacy":
+                rows = linguistic_found(rows, cut, section, rules, lemmas, synonyms, whitelist, o.fuzzy)
+            elif branch == "gliner":
+                rows = entities_found(rows, cut, entities, o.gliner_labels, o.gliner_threshold)
+            elif searched(section, names):
+                rows = identifiers_found(rows, cut, o.identifier_patterns)
+            else:
+                continue
+            found.append(cut.name(branch))
+    every = F.concat(*found) if found else F.array()
+    return Analysis(rows.select("document_name", "source_path", "extracted_text", every.cast(f"array<{FOUND}>").alias("found")), rules, sections, whitelist, o, errors)
 
 
 def _loaded(generic_rules_path: str | None, sections_path: str | None, whitelist_path: str | None) -> dict:
@@ -184,10 +194,10 @@ def run_detector(cases: DataFrame, rules: Sequence[DetectionRule], sections: Seq
     ``article9``: the rules of that scope, with the whitelist; ``full_text``: the whole
     analysis.  Other families raise ValueError.
     """
-    known = {"generic", "article9", "full_text"}
-    odd = [r[0] for r in cases.select("control_family").distinct().collect() if r[0] not in known]
+    known = F.coalesce(F.col("control_family").isin("generic", "article9", "full_text"), F.lit(False))
+    odd = cases.where(~known).select("control_family").limit(5).collect()
     if odd:
-        raise ValueError(f"unknown control families: {odd}")
+        raise ValueError(f"unknown control families: {sorted({str(r[0]) for r in odd})}")
     docs = cases.select(F.col("case_id").alias("document_name"), F.lit("cases").alias("source_path"), F.coalesce("text", F.lit("")).alias("extracted_text"), "control_family", F.coalesce(F.nullif("section_id", F.lit("")), F.lit("document")).alias("section"))
     names = sorted({s for r in rules for s in r.section_scope} | {s.section_id for s in sections})
     names = [n for n in names if n != "*"]

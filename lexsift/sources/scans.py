@@ -18,13 +18,18 @@ from ..schemas import analysis_ddl
 Extractor = Callable[[bytes], str]
 
 
+#: Splits up to which a scan is dealt out over the cores: beyond it moving all rows costs more than idle cores.
+FEW_SPLITS = 16
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan that has fewer splits than there are cores, dealt out over all of them; others as they are.
+    """A scan of very few splits, fewer than there are cores, dealt out over all of them; others as they are.
 
-    A file of one large row group would otherwise keep all work on one core.
+    A file of one large row group would otherwise keep all work on one core.  A scan of more
+    than FEW_SPLITS splits never moves, however many cores there are.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    splits, cores = scan.rdd.getNumPartitions(), scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if splits < min(cores, FEW_SPLITS) else scan
 
 
 def read_table(path: str) -> DataFrame:
@@ -46,6 +51,11 @@ def _named(df: DataFrame, text: Column) -> DataFrame:
     return df.select(F.element_at(F.split(path, "/"), -1).alias("document_name"), path.alias("source_path"), text.alias("extracted_text"))
 
 
+def _metadata_path() -> Column:
+    """The path of a row's file; Spark's metadata have it encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def binary_files(path: str, pattern: str) -> DataFrame:
     """Files right inside a directory, or one file."""
     return session().read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
@@ -69,12 +79,12 @@ def file_inventory(path: str, pattern: str = "*.pdf") -> DataFrame:
 
 def text_documents(path: str, pattern: str = "*.txt") -> DataFrame:
     """Text files, each one document."""
-    return _named(session().read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), F.col("value"))
+    return _named(session().read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(_metadata_path().alias("path"), "value"), F.col("value"))
 
 
 def html_documents(path: str, pattern: str = "*.html") -> DataFrame:
     """HTML files, each one document, as plain text."""
-    return _named(session().read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), X.strip_markup(F.col("value")))
+    return _named(session().read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(_metadata_path().alias("path"), "value"), X.strip_markup(F.col("value")))
 
 
 def table_documents(df: DataFrame, name: str | Column, text: str | Column, source: str = "table") -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import session
 from ..plans.engine import analyze
+from ..sources.scans import _metadata_path
 
 
 def arriving_documents(path: str) -> DataFrame:
     """Text files of a folder as a stream, each one document."""
     files = session().readStream.format("text").schema("value string").option("wholetext", True).option("pathGlobFilter", "*.txt").load(path)
-    at = F.col("_metadata.file_path")
+    at = _metadata_path()
     return files.select(F.element_at(F.split(at, "/"), -1).alias("document_name"), at.alias("source_path"), F.col("value").alias("extracted_text"))
 
 
