@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAPS = r"[\x20\x09-\x0D]+"
 #: A broadcast side may have this many rows at most; beyond it a shuffled join is planned.
 BROADCAST_ROWS = 100_000
+#: Rows that may share a join's key; keys of more are dealt with on their own.
+HOT_ROWS = 1 << 13
 #: Rows of an Arrow batch: texts may be long, and Python holds a batch several times over.
 ARROW_ROWS = 1000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -72,22 +74,30 @@ def dropped(df: DataFrame | None) -> None:
         system.delete(place, True)
 
 
-def flagged(rows: DataFrame, by: Column, keys: DataFrame, key: Column, name: str = "maybe") -> DataFrame:
+def prefix(*tables: DataFrame) -> str:
+    """What no column of the tables begins with: columns of our own that begin with it meet none of the caller's."""
+    found = "_"
+    while any(c.lower().startswith(found) for t in tables for c in t.columns):
+        found += "_"
+    return found
+
+
+def flagged(rows: DataFrame, by: Column, keys: DataFrame, key: Column, name: str) -> DataFrame:
     """Adds ``name``: false for rows whose long ``by`` isn't among the longs ``key`` of ``keys``; true for all others and a few besides.
 
     The keys make a bitmap of BITMAP_ROWS * 32,768 bits (8 MiB, however many keys there
     are), which is broadcast: rows stay where they are, and only those that are marked
     need to move to be told exactly.  A null key is never marked.
     """
-    places = F.pmod(key, F.lit(BITMAP_ROWS << 15))
-    bits = keys.select(places.alias("_p")).where("_p IS NOT NULL").groupBy((F.col("_p") % BITMAP_ROWS).alias("_row")).agg(F.bitmap_construct_agg(F.expr(f"_p div {BITMAP_ROWS}")).alias("_bits"))
-    bits = written(bits, "bitmap")
-    at = F.pmod(by, F.lit(BITMAP_ROWS << 15))
-    placed = rows.withColumn("_at", at)
-    joined = placed.join(F.broadcast(bits), F.col("_at") % BITMAP_ROWS == F.col("_row"), "left")
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_at div {BITMAP_ROWS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr(f"cast(_at div {BITMAP_ROWS} % 8 as int)")
-    return joined.withColumn(name, F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop("_at", "_row", "_bits")
+    p = prefix(rows)
+    at, row, bits = f"{p}at", f"{p}row", f"{p}bits"
+    place = lambda c: F.pmod(c, F.lit(BITMAP_ROWS << 15))
+    maps = keys.select(place(key).alias(at)).where(F.col(at).isNotNull()).groupBy((F.col(at) % BITMAP_ROWS).alias(row)).agg(F.bitmap_construct_agg(F.expr(f"{at} div {BITMAP_ROWS}")).alias(bits))
+    maps = written(maps, "bitmap")
+    joined = rows.withColumn(at, place(by)).join(F.broadcast(maps), F.col(at) % BITMAP_ROWS == F.col(row), "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({at} div {BITMAP_ROWS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr(f"cast({at} div {BITMAP_ROWS} % 8 as int)")
+    return joined.withColumn(name, F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop(at, row, bits)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -95,6 +105,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, one row for each key; ``n`` says how many of ``rows`` share it.
+
+    Keys that very many rows share are few and join by broadcast, so they fill no task; all others join by shuffle.
+    """
+    hot = small(lookup.where(F.col(n) > HOT_ROWS))
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(lookup.where(F.col(n) <= HOT_ROWS), keys)
+    return rows.join(hot, keys).unionByName(others)
+
+
 def md5_long(col: Column) -> Column:
     """The first 60 bits of a string's MD5 as a non-negative long (the same number in any SQL engine)."""
     return F.conv(F.substring(F.md5(col), 1, 15), 16, 10).cast("long")
