@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import HOT_ROWS, flagged, small, table, written
 
 #: Samples a second, of a frame and between frames; frames that the filters see at once.
 RATE, FRAME, HOP, SPAN = 11025, 4096, 1365, 16
@@ -27,6 +27,8 @@ LEVELS, GRAY = (-0.25, 0.0, 0.25), np.array([0, 1, 3, 2], dtype=np.uint32)
 KEY_MASKS = tuple(0xFFFFFFFF ^ (0xFF << 8 * k) for k in range(4))
 #: An alignment needs so many shared keys at one offset, so many frames of overlap, and at most this share of wrong bits.
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 3, 16, 0.2
+#: The code of frames whose areas are all alike, and how many frames apart codes of a run of equal ones vote.
+SILENT, STRIDE = -1, 16
 #: Rows whose id is divisible by this are the queries of a search.
 QUERY_STEP = 100
 
@@ -133,14 +135,41 @@ def _overlap(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
     return F.slice(a, F.greatest(offset, F.lit(0)) + 1, F.greatest(n, F.lit(0))), F.slice(b, F.greatest(-offset, F.lit(0)) + 1, F.greatest(n, F.lit(0)))
 
 
+def _voters(df: DataFrame, c: str) -> DataFrame:
+    """(c, c_at, k, v): the keys of a class's codes.  Of a run of equal codes every STRIDEth votes, so held tones don't
+    meet frame by frame; codes without any difference, silence above all, say nothing and have no vote."""
+    at = lambda i: F.element_at("codes", i + 1)
+    # Where the run began, by a fold over the codes: a new one where a code differs from the one before.
+    begun = F.aggregate(
+        F.sequence(F.lit(1), F.size("codes") - 1), F.array(F.lit(0)),
+        lambda acc, i: F.concat(acc, F.array(F.when(at(i) == at(i - 1), F.element_at(acc, -1)).otherwise(i))),
+    )
+    rows = df.where(F.size("codes") > 1).withColumn("begun", begun).unionByName(df.where(F.size("codes") == 1).withColumn("begun", F.array(F.lit(0))))
+    each = rows.select(F.col("class_id").alias(c), F.posexplode(F.arrays_zip("codes", "begun")).alias(f"{c}_at", "z"))
+    each = each.where((F.col("z.codes") != SILENT) & ((F.col(f"{c}_at") - F.col("z.begun")) % STRIDE == 0))
+    keys = [F.struct(F.lit(k).alias("k"), _unsigned(F.col("z.codes")).bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(KEY_MASKS)]
+    return each.select(c, f"{c}_at", F.inline(F.array(*keys)))
+
+
+def meetings(classes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q, q_at, c, c_at): where a key of a query class is one of another class.
+
+    Only keys that some query has move.  A key that very many codes of the classes have is dealt
+    over several tasks, and the queries' codes with it go to each of them.
+    """
+    asked = written(_voters(queries, "q"), "asked")
+    held = flagged(_voters(classes, "c"), F.xxhash64("k", "v"), asked, F.xxhash64("k", "v"), "maybe").where("maybe").drop("maybe")
+    held = written(held, "held")
+    often = written(held.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("k", "v", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")), "often")
+    parts = F.coalesce("parts", F.lit(1))
+    q = asked.join(small(often), ["k", "v"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    c = held.join(small(often), ["k", "v"], "left").withColumn("part", F.pmod(F.xxhash64("c", "c_at"), parts).cast("int")).drop("parts")
+    return q.join(c, ["k", "v", "part"]).where("q <> c")
+
+
 def aligned(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """(class_id, other_id, offset, votes, overlap, bit_error): the classes (class_id, codes) that align with each query class."""
-    def at(df: DataFrame, c: str) -> DataFrame:
-        codes = df.select(F.col("class_id").alias(c), F.posexplode("codes").alias(f"{c}_at", "code"))
-        keys = [F.struct(F.lit(k).alias("k"), _unsigned(F.col("code")).bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(KEY_MASKS)]
-        return codes.select(c, f"{c}_at", F.inline(F.array(*keys)))
-
-    met = at(queries, "q").join(at(classes, "c"), ["k", "v"]).where("q <> c")
+    met = meetings(classes, queries)
     votes = met.groupBy("q", "c", (F.col("q_at") - F.col("c_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
     best = votes.groupBy("q", "c").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), "offset")).alias("b"))
     a, b = queries.select(F.col("class_id").alias("q"), F.col("codes").alias("a")), classes.select(F.col("class_id").alias("c"), F.col("codes").alias("b"))
@@ -161,7 +190,7 @@ def search(prints: DataFrame, step: int = QUERY_STEP) -> DataFrame:
     class_id, is_query.  A row of kind ``match`` for every class that aligns with the class
     of a query (rec_id divisible by ``step``): class_id (of the query), other_id, offset
     (frames by which the other begins later), votes, overlap, bit_error.  Recordings too short for a
-    code form one class that matches none.  An empty table gives an empty result.
+    code form one class that matches none, and so does silence.  An empty table gives an empty result.
     """
     key = F.xxhash64("codes")
     prints = prints.withColumn("k1", key).withColumn("k2", F.hash("codes"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, flagged, small, table, written
+from .common import dropped, flagged, prefix, small, table, text_of, written
 
 #: Characters of an n-gram, of 16 bits each: any of the basic plane as it is, others by the low bits of their number.
 ORDER, BITS = 4, 16
@@ -140,20 +140,24 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
     return len(words), chars, marks, len(lines) - len(set(lines)), repeated, alone
 
 
+def _language() -> Column:
+    """A language's name after a plus sign; null: a minus."""
+    return F.coalesce(F.concat(F.lit("+"), F.col("lang")), F.lit("-"))
+
+
 def _named(docs: DataFrame) -> DataFrame:
-    """Adds ``_lang`` (a language's name after a plus sign; minus: null), ``_k`` (hash of the text) and ``_lk`` (of both)."""
-    lang = F.coalesce(F.concat(F.lit("+"), F.col("lang")), F.lit("-"))
-    k = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("_lang", lang).withColumn("_k", k).withColumn("_lk", F.xxhash64("_lang", "_k"))
+    """(doc_id, text, lang, k): ``lang`` as ``_language`` has it, ``k`` a hash of the text."""
+    return docs.select("doc_id", "text", _language().alias("lang"), F.xxhash64(text_of()).alias("k"))
 
 
 def different_texts(named: DataFrame) -> DataFrame:
     """(lang, text): each text of a language once.  Only texts that may have copies move."""
-    rows = named.select("_lang", "_k", "_lk", "text").where("length(text) > 0")
-    several = rows.groupBy("_lk").agg(F.count("*").alias("n")).where("n > 1")
-    marked = flagged(rows, F.col("_lk"), several, F.col("_lk"))
-    once = marked.where("maybe").groupBy("_lang", "_k").agg(F.first("text").alias("text"))
-    return marked.where("NOT maybe").select(F.col("_lang").alias("lang"), "text").unionByName(once.select(F.col("_lang").alias("lang"), "text"))
+    both = F.xxhash64("lang", "k")
+    rows = named.select("lang", "k", "text").where("length(text) > 0")
+    several = rows.groupBy(both.alias("lk")).agg(F.count("*").alias("n")).where("n > 1")
+    marked = flagged(rows, both, several, F.col("lk"), "maybe")
+    once = marked.where("maybe").groupBy("lang", "k").agg(F.first("text").alias("text"))
+    return marked.where("NOT maybe").select("lang", "text").unionByName(once.select("lang", "text"))
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -323,7 +327,7 @@ def scored(named: DataFrame, known: DataFrame, head_rows: int = HEAD) -> DataFra
                     nothing, where = pa.nulls(size, pa.int64()), pa.array(np.full(size, i, dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([row.take(where), nothing, lang.take(where), k.take(where), *[nothing] * len(_COUNTS), pa.nulls(size, pa.float64()), pa.array(codes[j : j + _ROWS], pa.int64()), pa.array(counts[j : j + _ROWS], pa.int64())], names)
 
-    rows = named.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_lang").alias("lang"), F.col("_k").alias("k"), "text")
+    rows = named.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "k", "text")
     found = written(rows.mapInArrow(score, schema), "scored")
     base = found.where("gram IS NULL").drop("gram", "n")
     if whole:
@@ -335,8 +339,8 @@ def scored(named: DataFrame, known: DataFrame, head_rows: int = HEAD) -> DataFra
 
 
 def judged(docs: DataFrame, bands: tuple[float, float] = (LOWER, UPPER), head_rows: int = HEAD) -> DataFrame:
-    """Base counts, perplexity and verdict of every document (doc_id, text, lang); see ``quality``.  Has ``lang`` and ``k`` as ``_named`` makes them."""
-    named = _named(docs.select("doc_id", "text", "lang"))
+    """Base counts, perplexity and verdict of every document (doc_id, text, lang); see ``quality``.  ``lang`` and ``k`` are as in ``_named``."""
+    named = _named(docs)
     counts = written(count_grams(different_texts(named)), "counts")
     known = probabilities(counts)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
@@ -376,14 +380,13 @@ def keep_good(docs: DataFrame, bands: tuple[float, float] = (LOWER, UPPER)) -> D
     """The documents that ``quality`` keeps, with all their columns as they are.
 
     The verdict depends on language and text alone.  Only documents that may be rejected move.
-    Columns named _lang, _k, _lk and maybe raise ValueError.
     """
-    if clash := {"_lang", "_k", "_lk", "maybe", "_bad"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns of these names would clash: {sorted(clash)}")
-    bad = written(judged(docs, bands).where("NOT kept").select(F.col("lang").alias("_lang"), F.col("k").alias("_k")).distinct(), "bad")
-    marked = flagged(_named(docs), F.col("_lk"), bad, F.xxhash64("_lang", "_k"))
-    sure = marked.where("NOT maybe").select(*docs.columns)
-    return sure.unionByName(marked.where("maybe").join(small(bad), ["_lang", "_k"], "left_anti").select(*docs.columns))
+    p = prefix(docs)
+    lang, k, maybe = f"{p}lang", f"{p}k", f"{p}maybe"
+    bad = written(judged(docs, bands).where("NOT kept").select(F.col("lang").alias(lang), F.col("k").alias(k)).distinct(), "bad")
+    marked = flagged(docs.withColumn(lang, _language()).withColumn(k, F.xxhash64(text_of())), F.xxhash64(lang, k), bad, F.xxhash64(lang, k), maybe)
+    sure = marked.where(~F.col(maybe)).select(*docs.columns)
+    return sure.unionByName(marked.where(maybe).join(small(bad), [lang, k], "left_anti").select(*docs.columns))
 
 
 def op9_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
