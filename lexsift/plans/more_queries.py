@@ -90,18 +90,16 @@ WITH rules AS (SELECT * FROM {_values([(i, r.rule_id, r.applies_whitelist) for i
 terms AS (SELECT *, string_split(lemmas, '|') AS own, round(base - CASE WHEN is_synonym THEN 0.04 ELSE 0 END, 2) AS lower FROM {_values(_LEMMA_TERMS, 'rule, term_ord, is_synonym, term, lemmas, base')}),
 forms AS (SELECT MAP {{{', '.join(f"'{k}': '{v}'" for k, v in LEMMAS.items())}}} AS m),
 docs AS (SELECT doc_id::VARCHAR AS document_name, {_SQL_FOLD.format('text')} AS folded FROM documents),
-formed AS (SELECT document_name, folded, w, list_transform(w, lambda x: coalesce(m[x], x)) AS l FROM (SELECT document_name, folded, {_SQL_TOKENS.format('folded')} AS w, m FROM docs, forms)),
-lists AS MATERIALIZED (SELECT *, list_transform(l, lambda x: {_SQL_STEM.format('x')}) AS st FROM formed),
-tried AS (SELECT * FROM lists CROSS JOIN terms),
+lists AS MATERIALIZED (SELECT document_name, folded, w, list_transform(w, lambda x: coalesce(m[x], x)) AS l FROM (SELECT document_name, folded, {_SQL_TOKENS.format('folded')} AS w, m FROM docs, forms)),
+words AS MATERIALIZED (SELECT *, {_SQL_STEM.format('lemma')} AS stem FROM (SELECT document_name, unnest(w) AS word, unnest(l) AS lemma, unnest(range(1, len(w) + 1)) AS pos FROM lists)),
+runs AS (SELECT document_name, rule, term_ord, term, lower, pos, array_to_string(w[pos:pos + len(own) - 1], ' ') AS run FROM words JOIN terms ON lemma = own[1] JOIN lists USING (document_name) WHERE l[pos:pos + len(own) - 1] = own),
 hits AS (
-  SELECT document_name, rule, term_ord, CASE WHEN is_synonym THEN 'synonym' ELSE 'exact' END AS kind, 0 AS detector, term AS matched, lower AS score FROM tried
-  WHERE contains(folded, term) AND regexp_matches(folded, '(^|[^\\pL\\pN_])' || term || '($|[^\\pL\\pN_])')
+  SELECT document_name, rule, term_ord, CASE WHEN is_synonym THEN 'synonym' ELSE 'exact' END AS kind, 0 AS detector, term AS matched, lower AS score FROM (SELECT * FROM docs JOIN terms ON contains(folded, term))
+  WHERE regexp_matches(folded, '(^|[^\\pL\\pN_])' || term || '($|[^\\pL\\pN_])')
+  UNION ALL SELECT document_name, rule, term_ord, 'lemma', 1, arg_min(run, pos), round(max(lower) - 0.07, 2) FROM runs WHERE run <> term GROUP BY document_name, rule, term_ord
   UNION ALL
-  SELECT document_name, rule, term_ord, 'lemma', 1, array_to_string(w[i:i + len(own) - 1], ' '), round(lower - 0.07, 2) FROM (
-    SELECT *, list_filter(range(1, len(l) - len(own) + 2), lambda i: l[i] = own[1] AND l[i:i + len(own) - 1] = own AND array_to_string(w[i:i + len(own) - 1], ' ') <> term)[1] AS i FROM tried) WHERE i IS NOT NULL
-  UNION ALL
-  SELECT document_name, rule, term_ord, 'root', 2, w[i], round(lower - 0.10, 2) FROM (
-    SELECT *, list_filter(range(1, len(l) + 1), lambda i: st[i] = stem AND l[i] <> own[1] AND len(stem) >= 5)[1] AS i FROM (SELECT *, {_SQL_STEM.format('own[1]')} AS stem FROM tried WHERE len(own) = 1)) WHERE i IS NOT NULL),
+  SELECT document_name, rule, term_ord, 'root', 2, arg_min(word, pos), round(max(lower) - 0.10, 2) FROM words JOIN (SELECT *, {_SQL_STEM.format('own[1]')} AS stem FROM terms WHERE len(own) = 1) USING (stem)
+  WHERE lemma <> own[1] AND len(stem) >= 5 GROUP BY document_name, rule, term_ord),
 best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY document_name, rule ORDER BY score DESC, term_ord DESC, detector) = 1),
 whitelist AS (SELECT * FROM {_values([(w.expression,) for w in WHITELIST], 'expression')})
 SELECT b.document_name, rule_id, kind AS detection_type, matched AS matched_term, score AS spacy_score, 'Rule ''' || rule_id || ''' detected ''' || matched || ''' as ' || kind || ' with spaCy.' AS detail
