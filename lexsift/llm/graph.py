@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): for every node of the edges (u, v) the smallest node of its component.
+    """(node, root): for every node of the edges (u, v) the smallest node of its component; no edges give no rows, null ends are left out.
 
     Each round writes its edges to the shared folder, so a lost executor costs a round
     at most; the number of rounds grows with the logarithm of a component's length.
@@ -31,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state[0] == 0 or state == seen:
             break
-        seen = state
+        seen, before = state, now
         now = written(_star(_star(now, small=False), small=True), "edges")
+        dropped(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
