@@ -508,7 +508,7 @@ results AS (
          array_to_string(CASE WHEN expected_alert THEN list_filter(coalesce(keys, []), lambda k: NOT list_contains(want, k)) ELSE coalesce(keys, []) END, ' | ') AS unexpected_keys,
          CASE WHEN expected_alert AND coalesce(n, 0) > 0 THEN 'TP' WHEN expected_alert THEN 'FN' WHEN coalesce(n, 0) > 0 THEN 'FP' ELSE 'TN' END AS alert_outcome
   FROM expected LEFT JOIN found USING (case_id)),
-rated AS (SELECT *, alert_outcome IN ('TP', 'TN') AND missing_keys = '' AND unexpected_keys = '' AS case_ok FROM results)"""
+rated AS MATERIALIZED (SELECT *, alert_outcome IN ('TP', 'TN') AND missing_keys = '' AND unexpected_keys = '' AS case_ok FROM results)"""
 _SQL_RATES = """round(tp / nullif(tp + fp, 0)::DOUBLE, 9) AS "precision", round(tp / nullif(tp + fn, 0)::DOUBLE, 9) AS recall,
        CASE WHEN tp > 0 THEN round(2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE), 9) END AS f1"""
 
