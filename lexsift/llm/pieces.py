@@ -2,29 +2,29 @@
 
 Where no piece of a model has a whitespace marker after another character, a text
 falls into chunks (markers and the characters up to the next marker) that are
-segmented independently.  A table (chunk, ids, decoded) holds each distinct chunk once:
-frequent ones, of bounded number, are segmented once for the corpus and broadcast; any
-other is segmented once in a task, in the task's own part of the table, as rare chunks
-meet few tasks.  A document's ids are its chunks' ids joined by position.  (A shuffled
-join of all positions instead would write several times the input; see the README.)
+segmented independently.  A table (chunk, ids, decoded) holds each distinct chunk of the
+corpus once.  Frequent chunks, of bounded number, are broadcast.  Texts are taken in
+blocks of bounded size; a block's other distinct chunks join the table by shuffle, and
+the block meets them, compressed, to join its documents' ids by position.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .tokens import HEAD, STEP, frequent_strings
+from .common import looked_up, table, written
+from .tokens import HEAD, ROWS, STEP, frequent_strings, is_key
 
 MARK = "▁"
-#: Chunks that a task's own table holds before it starts anew.
-TABLE = 1 << 16
+#: Characters of a block, about (a longer text is a block of its own), and blocks of a task.
+BLOCK_CHARS, BLOCKS = 1 << 22, 8
 #: A chunk's entry: the number of its ids, the ids in decimal joined by commas, what they decode to (None: the chunk itself).
 Entry = tuple[int, str, str | None]
 
@@ -70,16 +70,49 @@ class ChunkModel:
         return [(len(i), ",".join(map(str, i)), None if d == c else d) if c else lone for c, i, d in zip(chunks, encoded, decoded)]
 
 
+Block = tuple[int, list[int | None], list[str]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """(block, doc_ids, texts): a partition's rows in blocks, whatever batches they come in; the same each time the partition is read."""
+    block = TaskContext.get().partitionId() << 32
+    ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids.append(doc_id)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= BLOCK_CHARS:
+                yield block, ids, texts
+                block, ids, texts, size = block + 1, [], [], 0
+    if ids:
+        yield block, ids, texts
+
+
+def _packed(ids: list[int | None], texts: list[str]) -> bytes:
+    """A block's rows as a compressed Arrow stream."""
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) for every document (doc_id, text).
 
     Ids and decoded text equal the library's, without begin and end ids.  A null or empty
     text has no ids and decodes to the empty text.  Rows that repeat each get a row; an
-    empty table gives an empty result.  Other columns are ignored.
+    empty table gives an empty result.  Other columns are ignored.  Chunks of over 256
+    bytes are no keys: they are segmented where they stand.
     """
     spark = docs.sparkSession
     model = ChunkModel(model_file)
     chunks = ChunkModel.chunks
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    entry = "chunk string, n int, ids string, decoded string"
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = model.processor()
@@ -87,37 +120,78 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
             parts = b.column(0).to_pylist()
             for i in range(0, len(parts), STEP):
                 n, ids, texts = zip(*ChunkModel.entries(sp, parts[i : i + STEP]))
-                yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + STEP], pa.string()), pa.array(n, pa.int32()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["chunk", "n", "ids", "decoded"])
+                others = [c.slice(i, STEP) for c in b.columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + STEP], pa.string()), pa.array(n, pa.int32()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), *others], ["chunk", "n", "ids", "decoded", *b.schema.names[1:]])
 
-    found = frequent_strings(docs, chunks, head_rows).mapInArrow(segment, "chunk string, n int, ids string, decoded string").toArrow()  # HEAD rows at most
+    found = frequent_strings(docs, chunks, head_rows).mapInArrow(segment, entry).toArrow()  # HEAD rows at most
     columns = [found[c].to_pylist() for c in found.column_names]
     head = spark.sparkContext.broadcast(dict(zip(columns[0], zip(*columns[1:]))))
 
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, chunk): the distinct chunks of each block that the head doesn't have."""
+        for block, _, texts in _blocks(batches):
+            seen: set[str] = set()
+            for text in texts:
+                seen.update(chunks(text))
+            rare = [c for c in seen if c not in head.value and is_key(c)]
+            for i in range(0, len(rare), ROWS):
+                part = rare[i : i + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "chunk"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(ids, texts)], pa.binary())], ["block", "packed"])
+
+    rare = written(docs.mapInArrow(others, "block long, chunk string"), "chunks")
+    counted = rare.groupBy("chunk").agg(F.count("*").alias("blocks"))
+    known = written(counted.mapInArrow(segment, f"{entry}, blocks long"), "segmented")
+    entries = looked_up(rare, known, ["chunk"], "blocks").select("block", "chunk", "n", "ids", "decoded", F.lit(None).cast("binary").alias("packed"))
+    packed = docs.mapInArrow(pack, "block long, packed binary").select("block", *(F.lit(None).cast(t).alias(c) for c, t in (("chunk", "string"), ("n", "int"), ("ids", "string"), ("decoded", "string"))), "packed")
+    tasks = max(spark.sparkContext.defaultParallelism, rare.agg(F.approx_count_distinct("block")).first()[0] // BLOCKS)
+    # Of a block its chunks come first, then its texts.
+    both = entries.unionByName(packed).repartition(tasks, "block").sortWithinPartitions("block", F.col("packed").isNotNull())
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, own = model.processor(), dict(head.value)
+        sp = model.processor()
+        frequent = head.value.get
+        own: dict[str, Entry] = {}
+        current: int | None = None
         for batch in batches:
+            blocks, names, *values, texts_of = (c.to_pylist() for c in batch.columns)
+            for block, chunk, n, ids, decoded, content in zip(blocks, names, *values, texts_of):
+                if block != current:
+                    current, own = block, {}
+                if content is None:
+                    own[chunk] = n, ids, decoded
+                else:
+                    for rows in pa.ipc.open_stream(content):
+                        yield from encoded(sp, frequent, own, rows)
+
+    def encoded(sp, frequent: Callable[[str], Entry | None], own: dict[str, Entry], rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        doc_ids, texts = rows.column(0), rows.column(1).to_pylist()
+        for i in range(0, len(texts), STEP):
             out: list[list] = [[] for _ in range(4)]
-            for text in batch.column(1).to_pylist():
-                parts = chunks(text or "")
-                found = list(map(own.get, parts))
+            for text in texts[i : i + STEP]:
+                parts = chunks(text)
+                found = list(map(frequent, parts))
                 if None in found:
-                    if len(own) > TABLE + len(head.value):
-                        own = dict(head.value)
-                    new = [c for c in dict.fromkeys(parts) if c not in own]
-                    own.update(zip(new, ChunkModel.entries(sp, new)))
-                    found = list(map(own.__getitem__, parts))
-                counts, ids, texts = zip(*found) if found else ((), (), ())
+                    found = [own.get(c) if e is None else e for c, e in zip(parts, found)]
+                    if None in found:  # chunks that are no keys
+                        new = [c for c, e in zip(parts, found) if e is None]
+                        fresh = dict(zip(new, ChunkModel.entries(sp, new)))
+                        found = [fresh[c] if e is None else e for c, e in zip(parts, found)]
+                counts, ids, decodings = zip(*found) if found else ((), (), ())
                 ids = ",".join(ids)
-                decoded = " ".join([c if d is None else d for c, d in zip(parts, texts)] if texts.count(None) < len(texts) else parts)
+                decoded = " ".join([c if d is None else d for c, d in zip(parts, decodings)] if decodings.count(None) < len(decodings) else parts)
                 out[0].append(sum(counts))
                 out[1].append(hashlib.sha256(ids.encode()).hexdigest())
                 out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                 out[3].append(list(map(int, ids.split(","))) if with_ids and ids else [])
-            arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+            arrays = [doc_ids.slice(i, STEP), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[3], pa.list_(pa.int32()))] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, schema)
+    return both.mapInArrow(encode, schema)
 
 
 def op7_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def test_other_tokenizers_are_refused():
 def test_pieces_equal_the_library(spark, head, monkeypatch):
     import sentencepiece
 
-    monkeypatch.setattr(pieces, "TABLE", 5)
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 300)
     rows, df = odd_documents(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
