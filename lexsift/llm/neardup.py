@@ -33,6 +33,14 @@ BITS = 64
 _BLOCK = 1 << 16  # shingles whose bits are counted at once
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit number of the bits that are set in over half of 64-bit hashes; none: 0."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(hashes), _BLOCK):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[i : i + _BLOCK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """The signed 64-bit SimHash of a text: a bit is set if it is set in over half of the shingles' hashes; no words: 0."""
     words = (text or "").encode().lower().split()
@@ -40,11 +48,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-    ones = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(hashes), _BLOCK):
-        ones += np.unpackbits(hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(np.array([digest(s, SEED) for s in shingles], dtype="<u8"))
 
 
 def simhash(text: Column) -> Column:

@@ -11,7 +11,9 @@ the block meets them, compressed, to join its documents' ids by position.
 from __future__ import annotations
 
 import hashlib
+import marshal
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looked_up, table, written
+from .common import table
 from .tokens import HEAD, ROWS, STEP, frequent_strings, is_key
 
 MARK = "▁"
-#: Characters of a block, about (a longer text is a block of its own), and blocks of a task.
-BLOCK_CHARS, BLOCKS = 1 << 22, 8
+#: Characters of a block, about; a longer text is a block of its own.
+BLOCK_CHARS = 1 << 24
+#: Entries that a task gathers, by block, before it hands them on.
+GATHERED = 1 << 17
 #: A chunk's entry: the number of its ids, the ids in decimal joined by commas, what they decode to (None: the chunk itself).
 Entry = tuple[int, str, str | None]
 
@@ -100,6 +104,10 @@ def _packed(ids: list[int | None], texts: list[str]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _entries(gathered: dict[int, list[tuple]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(gathered), pa.int64()), pa.array([zlib.compress(marshal.dumps(x), 1) for x in gathered.values()], pa.binary())], ["block", "entries"])
+
+
 def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) for every document (doc_id, text).
 
@@ -112,7 +120,6 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
     model = ChunkModel(model_file)
     chunks = ChunkModel.chunks
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    entry = "chunk string, n int, ids string, decoded string"
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = model.processor()
@@ -120,10 +127,9 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
             parts = b.column(0).to_pylist()
             for i in range(0, len(parts), STEP):
                 n, ids, texts = zip(*ChunkModel.entries(sp, parts[i : i + STEP]))
-                others = [c.slice(i, STEP) for c in b.columns[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + STEP], pa.string()), pa.array(n, pa.int32()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), *others], ["chunk", "n", "ids", "decoded", *b.schema.names[1:]])
+                yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + STEP], pa.string()), pa.array(n, pa.int32()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["chunk", "n", "ids", "decoded"])
 
-    found = frequent_strings(docs, chunks, head_rows).mapInArrow(segment, entry).toArrow()  # HEAD rows at most
+    found = frequent_strings(docs, chunks, head_rows).mapInArrow(segment, "chunk string, n int, ids string, decoded string").toArrow()  # HEAD rows at most
     columns = [found[c].to_pylist() for c in found.column_names]
     head = spark.sparkContext.broadcast(dict(zip(columns[0], zip(*columns[1:]))))
 
@@ -138,16 +144,35 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
                 part = rare[i : i + ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "chunk"])
 
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, entries): each distinct chunk, of rows (block, chunk) in the order of chunks, is segmented once, and goes to the blocks that have it."""
+        sp = model.processor()
+        gathered: dict[int, list[tuple]] = {}
+        size, last = 0, None
+        for batch in batches:
+            blocks, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            new = [c for c in dict.fromkeys(names) if last is None or c != last[0]]
+            table = {} if last is None else {last[0]: last}
+            for i in range(0, len(new), STEP):
+                table.update(zip(new[i : i + STEP], zip(new[i : i + STEP], *zip(*ChunkModel.entries(sp, new[i : i + STEP])))))
+            for block, chunk in zip(blocks, names):
+                gathered.setdefault(block, []).append(table[chunk])
+            size += len(names)
+            last = table[names[-1]] if names else last
+            if size >= GATHERED:
+                yield _entries(gathered)
+                gathered, size = {}, 0
+        if gathered:
+            yield _entries(gathered)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(ids, texts)], pa.binary())], ["block", "packed"])
 
-    rare = written(docs.mapInArrow(others, "block long, chunk string"), "chunks")
-    counted = rare.groupBy("chunk").agg(F.count("*").alias("blocks"))
-    known = written(counted.mapInArrow(segment, f"{entry}, blocks long"), "segmented")
-    entries = looked_up(rare, known, ["chunk"], "blocks").select("block", "chunk", "n", "ids", "decoded", F.lit(None).cast("binary").alias("packed"))
-    packed = docs.mapInArrow(pack, "block long, packed binary").select("block", *(F.lit(None).cast(t).alias(c) for c, t in (("chunk", "string"), ("n", "int"), ("ids", "string"), ("decoded", "string"))), "packed")
-    tasks = max(spark.sparkContext.defaultParallelism, rare.agg(F.approx_count_distinct("block")).first()[0] // BLOCKS)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rare = docs.mapInArrow(others, "block long, chunk string").repartition(tasks, "chunk").sortWithinPartitions("chunk")
+    entries = rare.mapInArrow(shared, "block long, entries binary").select("block", "entries", F.lit(None).cast("binary").alias("packed"))
+    packed = docs.mapInArrow(pack, "block long, packed binary").select("block", F.lit(None).cast("binary").alias("entries"), "packed")
     # Of a block its chunks come first, then its texts.
     both = entries.unionByName(packed).repartition(tasks, "block").sortWithinPartitions("block", F.col("packed").isNotNull())
 
@@ -157,12 +182,11 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
         own: dict[str, Entry] = {}
         current: int | None = None
         for batch in batches:
-            blocks, names, *values, texts_of = (c.to_pylist() for c in batch.columns)
-            for block, chunk, n, ids, decoded, content in zip(blocks, names, *values, texts_of):
+            for block, known, content in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != current:
                     current, own = block, {}
                 if content is None:
-                    own[chunk] = n, ids, decoded
+                    own.update((c, (n, ids, decoded)) for c, n, ids, decoded in marshal.loads(zlib.decompress(known)))
                 else:
                     for rows in pa.ipc.open_stream(content):
                         yield from encoded(sp, frequent, own, rows)
