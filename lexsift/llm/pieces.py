@@ -13,11 +13,11 @@ from __future__ import annotations
 import hashlib
 import marshal
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +29,10 @@ MARK = "▁"
 BLOCK_CHARS = 1 << 24
 #: Entries that a task gathers, by block, before it hands them on.
 GATHERED = 1 << 17
-#: A chunk's entry: the number of its ids, the ids in decimal joined by commas, what they decode to (None: the chunk itself).
-Entry = tuple[int, str, str | None]
+#: Compression of what goes to a block.
+LEVEL = 3
+#: A chunk's entry: its ids in decimal, joined by commas, and what they decode to (None: the chunk itself).
+Entry = tuple[str, str | None]
 
 
 class ChunkModel:
@@ -70,16 +72,18 @@ class ChunkModel:
         encoded = sp.encode(chunks, num_threads=1)
         decoded = sp.decode(encoded, num_threads=1) if encoded else []
         # The marker alone is the text "", which the library leaves without ids.
-        lone = (1, str(sp.piece_to_id(MARK)), None)
-        return [(len(i), ",".join(map(str, i)), None if d == c else d) if c else lone for c, i, d in zip(chunks, encoded, decoded)]
+        lone = (str(sp.piece_to_id(MARK)), None)
+        return [(",".join(map(str, i)), None if d == c else d) if c else lone for c, i, d in zip(chunks, encoded, decoded)]
 
 
 Block = tuple[int, list[int | None], list[str]]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """(block, doc_ids, texts): a partition's rows in blocks, whatever batches they come in; the same each time the partition is read."""
-    block = TaskContext.get().partitionId() << 32
+    """(block, doc_ids, texts): a partition's rows in blocks, whatever batches they come in.
+
+    A block is named by a hash of its rows, so it has the same name whichever stage reads them; equal blocks share their chunks.
+    """
     ids: list[int | None] = []
     texts: list[str] = []
     size = 0
@@ -89,23 +93,32 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             texts.append(text or "")
             size += len(texts[-1])
             if size >= BLOCK_CHARS:
-                yield block, ids, texts
-                block, ids, texts, size = block + 1, [], [], 0
+                yield _block_name(ids, texts), ids, texts
+                ids, texts, size = [], [], 0
     if ids:
-        yield block, ids, texts
+        yield _block_name(ids, texts), ids, texts
+
+
+def _block_name(ids: list[int | None], texts: list[str]) -> int:
+    digest = xxhash.xxh64(repr(ids))
+    for text in texts:
+        digest.update(text)
+    return digest.intdigest() - (1 << 63)
 
 
 def _packed(ids: list[int | None], texts: list[str]) -> bytes:
     """A block's rows as a compressed Arrow stream."""
     batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    return zstandard.compress(sink.getvalue(), LEVEL)
 
 
-def _entries(gathered: dict[int, list[tuple]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(gathered), pa.int64()), pa.array([zlib.compress(marshal.dumps(x), 1) for x in gathered.values()], pa.binary())], ["block", "entries"])
+def _entries(gathered: dict[int, list[tuple[str, str, str | None]]]) -> pa.RecordBatch:
+    """(block, entries): a block's chunks, their ids, and the chunks that don't decode to themselves, compressed."""
+    rows = [zstandard.compress(marshal.dumps(([c for c, _, _ in x], [i for _, i, _ in x], {c: d for c, _, d in x if d is not None})), LEVEL) for x in gathered.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(gathered), pa.int64()), pa.array(rows, pa.binary())], ["block", "entries"])
 
 
 def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_ids: bool = False) -> DataFrame:
@@ -126,12 +139,13 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
         for b in batches:
             parts = b.column(0).to_pylist()
             for i in range(0, len(parts), STEP):
-                n, ids, texts = zip(*ChunkModel.entries(sp, parts[i : i + STEP]))
-                yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + STEP], pa.string()), pa.array(n, pa.int32()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["chunk", "n", "ids", "decoded"])
+                ids, texts = zip(*ChunkModel.entries(sp, parts[i : i + STEP]))
+                yield pa.RecordBatch.from_arrays([pa.array(parts[i : i + STEP], pa.string()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["chunk", "ids", "decoded"])
 
-    found = frequent_strings(docs, chunks, head_rows).mapInArrow(segment, "chunk string, n int, ids string, decoded string").toArrow()  # HEAD rows at most
-    columns = [found[c].to_pylist() for c in found.column_names]
-    head = spark.sparkContext.broadcast(dict(zip(columns[0], zip(*columns[1:]))))
+    found = frequent_strings(docs, chunks, head_rows).mapInArrow(segment, "chunk string, ids string, decoded string").toArrow()  # HEAD rows at most
+    names, ids, decoded = (found[c].to_pylist() for c in found.column_names)
+    # Ids by chunk, and the few chunks that don't decode to themselves.
+    head = spark.sparkContext.broadcast((dict(zip(names, ids)), {c: d for c, d in zip(names, decoded) if d is not None}))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(block, chunk): the distinct chunks of each block that the head doesn't have."""
@@ -139,7 +153,7 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
             seen: set[str] = set()
             for text in texts:
                 seen.update(chunks(text))
-            rare = [c for c in seen if c not in head.value and is_key(c)]
+            rare = [c for c in seen if c not in head.value[0] and is_key(c)]
             for i in range(0, len(rare), ROWS):
                 part = rare[i : i + ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "chunk"])
@@ -147,7 +161,7 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(block, entries): each distinct chunk, of rows (block, chunk) in the order of chunks, is segmented once, and goes to the blocks that have it."""
         sp = model.processor()
-        gathered: dict[int, list[tuple]] = {}
+        gathered: dict[int, list[tuple[str, str, str | None]]] = {}
         size, last = 0, None
         for batch in batches:
             blocks, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -178,36 +192,39 @@ def encode_decode(docs: DataFrame, model_file: str, head_rows: int = HEAD, with_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = model.processor()
-        frequent = head.value.get
-        own: dict[str, Entry] = {}
+        frequent, frequent_odd = head.value
+        own: dict[str, str] = {}
+        odd = frequent_odd
         current: int | None = None
         for batch in batches:
             for block, known, content in zip(*(c.to_pylist() for c in batch.columns)):
                 if block != current:
-                    current, own = block, {}
+                    current, own, odd = block, {}, dict(frequent_odd)
                 if content is None:
-                    own.update((c, (n, ids, decoded)) for c, n, ids, decoded in marshal.loads(zlib.decompress(known)))
+                    names, ids, others = marshal.loads(zstandard.decompress(known))
+                    own.update(zip(names, ids))
+                    odd.update(others)
                 else:
-                    for rows in pa.ipc.open_stream(content):
-                        yield from encoded(sp, frequent, own, rows)
+                    for rows in pa.ipc.open_stream(zstandard.decompress(content)):
+                        yield from encoded(sp, frequent.get, own, odd, rows)
 
-    def encoded(sp, frequent: Callable[[str], Entry | None], own: dict[str, Entry], rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def encoded(sp, frequent: Callable[[str], str | None], own: dict[str, str], odd: dict[str, str], rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         doc_ids, texts = rows.column(0), rows.column(1).to_pylist()
         for i in range(0, len(texts), STEP):
             out: list[list] = [[] for _ in range(4)]
             for text in texts[i : i + STEP]:
                 parts = chunks(text)
-                found = list(map(frequent, parts))
+                found, special = list(map(frequent, parts)), odd
                 if None in found:
                     found = [own.get(c) if e is None else e for c, e in zip(parts, found)]
                     if None in found:  # chunks that are no keys
-                        new = [c for c, e in zip(parts, found) if e is None]
+                        new = list(dict.fromkeys(c for c, e in zip(parts, found) if e is None))
                         fresh = dict(zip(new, ChunkModel.entries(sp, new)))
-                        found = [fresh[c] if e is None else e for c, e in zip(parts, found)]
-                counts, ids, decodings = zip(*found) if found else ((), (), ())
-                ids = ",".join(ids)
-                decoded = " ".join([c if d is None else d for c, d in zip(parts, decodings)] if decodings.count(None) < len(decodings) else parts)
-                out[0].append(sum(counts))
+                        found = [fresh[c][0] if e is None else e for c, e in zip(parts, found)]
+                        special = odd | {c: d for c, (_, d) in fresh.items() if d is not None}
+                ids = ",".join(found)
+                decoded = " ".join(parts if special.keys().isdisjoint(parts) else [special.get(c, c) for c in parts])
+                out[0].append(ids.count(",") + 1 if found else 0)
                 out[1].append(hashlib.sha256(ids.encode()).hexdigest())
                 out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                 out[3].append(list(map(int, ids.split(","))) if with_ids and ids else [])
