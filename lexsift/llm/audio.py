@@ -27,7 +27,7 @@ LEVELS, GRAY = (-0.25, 0.0, 0.25), np.array([0, 1, 3, 2], dtype=np.uint32)
 KEY_MASKS = tuple(0xFFFFFFFF ^ (0xFF << 8 * k) for k in range(4))
 #: An alignment needs so many shared keys at one offset, so many frames of overlap, and at most this share of wrong bits.
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 3, 16, 0.2
-#: The code of frames whose areas are all alike, and how many frames apart codes of a run of equal ones vote.
+#: The code of frames whose areas are all alike, and the frames in which a key votes once.
 SILENT, STRIDE = -1, 16
 #: Rows whose id is divisible by this are the queries of a search.
 QUERY_STEP = 100
@@ -136,19 +136,18 @@ def _overlap(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
 
 
 def _voters(df: DataFrame, c: str) -> DataFrame:
-    """(c, c_at, k, v): the keys of a class's codes.  Of a run of equal codes every STRIDEth votes, so held tones don't
-    meet frame by frame; codes without any difference, silence above all, say nothing and have no vote."""
-    at = lambda i: F.element_at("codes", i + 1)
-    # Where the run began, by a fold over the codes: a new one where a code differs from the one before.
-    begun = F.aggregate(
-        F.sequence(F.lit(1), F.size("codes") - 1), F.array(F.lit(0)),
-        lambda acc, i: F.concat(acc, F.array(F.when(at(i) == at(i - 1), F.element_at(acc, -1)).otherwise(i))),
-    )
-    rows = df.where(F.size("codes") > 1).withColumn("begun", begun).unionByName(df.where(F.size("codes") == 1).withColumn("begun", F.array(F.lit(0))))
-    each = rows.select(F.col("class_id").alias(c), F.posexplode(F.arrays_zip("codes", "begun")).alias(f"{c}_at", "z"))
-    each = each.where((F.col("z.codes") != SILENT) & ((F.col(f"{c}_at") - F.col("z.begun")) % STRIDE == 0))
-    keys = [F.struct(F.lit(k).alias("k"), _unsigned(F.col("z.codes")).bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(KEY_MASKS)]
-    return each.select(c, f"{c}_at", F.inline(F.array(*keys)))
+    """(c, c_at, k, v): the keys of a class's codes.  A key votes once in STRIDE frames, so held tones don't meet frame by
+    frame; codes without any difference, silence above all, say nothing and have no vote."""
+    keys = lambda code, i: F.array(*(F.struct(F.lit(k).alias("k"), _unsigned(code).bitwiseAND(F.lit(m)).alias("v"), i.alias("at")) for k, m in enumerate(KEY_MASKS)))
+    none = F.array().cast("array<struct<k:int,v:bigint,at:int>>")
+    every = F.flatten(F.transform("codes", lambda code, i: F.when(code != SILENT, keys(code, i)).otherwise(none)))
+    rows = df.select("class_id", F.array_sort(every).alias("keys"))
+
+    def first(x: Column, i: Column) -> Column:
+        before = F.get("keys", i - 1)
+        return (i == 0) | (before["k"] != x["k"]) | (before["v"] != x["v"]) | (F.floor(before["at"] / STRIDE) != F.floor(x["at"] / STRIDE))
+
+    return rows.select(F.col("class_id").alias(c), F.inline(F.filter("keys", first))).select(c, F.col("at").alias(f"{c}_at"), "k", "v")
 
 
 def meetings(classes: DataFrame, queries: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ HOT_ROWS = 1 << 13
 ARROW_ROWS = 1000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SETTING = threading.RLock()
-#: Rows of a bitmap of 4 KiB each.
-BITMAP_ROWS = 2048
+#: Rows of a bitmap, of 4 KiB each, and files that it is written to.
+BITMAP_ROWS, BITMAP_FILES = 2048, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,7 @@ def flagged(rows: DataFrame, by: Column, keys: DataFrame, key: Column, name: str
     at, row, bits = f"{p}at", f"{p}row", f"{p}bits"
     place = lambda c: F.pmod(c, F.lit(BITMAP_ROWS << 15))
     maps = keys.select(place(key).alias(at)).where(F.col(at).isNotNull()).groupBy((F.col(at) % BITMAP_ROWS).alias(row)).agg(F.bitmap_construct_agg(F.expr(f"{at} div {BITMAP_ROWS}")).alias(bits))
-    maps = written(maps, "bitmap")
+    maps = written(maps.coalesce(BITMAP_FILES), "bitmap")
     joined = rows.withColumn(at, place(by)).join(F.broadcast(maps), F.col(at) % BITMAP_ROWS == F.col(row), "left")
     byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({at} div {BITMAP_ROWS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
     bit = F.expr(f"cast({at} div {BITMAP_ROWS} % 8 as int)")

@@ -30,7 +30,7 @@ BLOCK_CHARS = 1 << 24
 #: Entries that a task gathers, by block, before it hands them on.
 GATHERED = 1 << 17
 #: Compression of what goes to a block.
-LEVEL = 3
+LEVEL = 7
 #: A chunk's entry: its ids in decimal, joined by commas, and what they decode to (None: the chunk itself).
 Entry = tuple[str, str | None]
 

@@ -31,7 +31,7 @@ SAMPLE = 50_000
 #: Strings that are tokenized at once.
 STEP = 512
 #: Distinct strings that a task counts, and rows that it gathers, before it hands them on.
-FLUSH, ROWS = 1 << 15, 1 << 14
+FLUSH, ROWS = 1 << 17, 1 << 14
 #: Tokens over which a document is marked.
 LIMIT = 512
 

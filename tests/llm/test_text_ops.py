@@ -13,7 +13,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tests.llm import labelled_pages  # noqa: E402
 
-from lexsift.llm import audio, graph, htmlblocks, htmlcrf, neardup, pieces, quality, tokens  # noqa: E402
+from lexsift.llm import audio, graph, htmlblocks, htmlcrf, neardup, neartext, pieces, quality, tokens  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["", "  ", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "  x  \n\n y z  ", "don't I'll 12345 ½", "日本語 テキスト\U0001f600", "a\0b", "▁x ▁▁y", "ﬁ é", "<s>hi</s><0x41>", "w " * 2000, "x" * 5000, " " * 300, None, "a\r\nb\x0b\x0c\x1c\x85c", "�"]
@@ -93,6 +93,18 @@ def test_pieces_equal_the_library(spark, head, monkeypatch):
     assert pieces.encode_decode(df.limit(0), path).collect() == []
 
 
+def test_blocks_have_the_same_names_in_any_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 40)
+    rng = random.Random(22)
+    rows = [(rng.choice([None, i]), rng.choice([None, "", "x" * rng.randint(1, 90)])) for i in range(60)]
+    batches = lambda n: iter([pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows[i : i + n]], pa.int64()), pa.array([t for _, t in rows[i : i + n]], pa.string())], ["doc_id", "text"]) for i in range(0, len(rows), n)])
+    one = list(pieces._blocks(batches(1)))
+    assert one == list(pieces._blocks(batches(7))) == list(pieces._blocks(batches(60))) and len({b for b, *_ in one}) > 5
+    assert [(d, t or "") for d, t in rows] == [x for _, ids, texts in one for x in zip(ids, texts)]
+
+
 def brute_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -427,6 +439,44 @@ def test_recall_against_all_alignments(spark):
     assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_silence_and_held_tones_meet_in_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(audio, "HOT_ROWS", 50)
+    rng = np.random.default_rng(6)
+    quiet = np.zeros(60 * audio.RATE)
+    tone = np.sin(2 * np.pi * 440 * np.arange(30 * audio.RATE) / audio.RATE)
+    tunes = [audio.melody(rng.normal(0, 0.15, 64).tolist()) for _ in range(6)]
+    sounds = [np.concatenate([quiet, t, tone]) + 0 for t in tunes] + [np.concatenate([quiet[: 20 * audio.HOP], tunes[0]]), quiet, quiet[: 30 * audio.RATE]]
+    rows = [(i, i, audio.fingerprint(s).view(np.int32).tolist()) for i, s in enumerate(sounds)]
+    assert sum(c == audio.SILENT for _, _, codes in rows for c in codes) > 2500
+    prints = spark.createDataFrame(rows, "rec_id long, class_id long, codes array<int>")
+    frames = sum(len(c) for *_, c in rows)
+    assert audio.meetings(prints, prints).count() < 25 * frames  # frame by frame, silence and tones alone would make over a thousand a frame
+    got = {(r.class_id, r.other_id) for r in audio.search(prints.drop("class_id"), step=1).where("kind = 'match'").collect()}
+    assert (0, 6) in got and (6, 0) in got and not any(7 in x or 8 in x for x in got)
+
+
+def test_long_recordings(spark):
+    rng = np.random.default_rng(7)
+    s = audio.melody(rng.normal(0, 0.15, 6000).tolist())
+    codes = audio.fingerprint(s).view(np.int32).tolist()
+    part = audio.fingerprint(s[200 * audio.HOP : 400 * audio.HOP]).view(np.int32).tolist()
+    df = spark.createDataFrame([(0, codes), (1, part)], "rec_id long, codes array<int>")
+    (match,) = audio.search(df).where("kind = 'match'").collect()
+    assert len(codes) > 5000 and (match.class_id, match.other_id, match.offset) == (0, 1, 200)
+
+
+def test_verdicts_leave_columns_alone(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, 20, 30) for _ in range(9)]
+    rows = [(i % 7 if i % 5 else None, texts[i % 9], "en", "s", i) for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "'mine' AS keep_text", "n_chars AS k", "1 AS _k", "2 AS kept", "3 AS maybe")
+    for kept in (neardup.keep_one(df), neartext.keep_one(df)):
+        assert kept.columns == df.columns
+        got = kept.collect()
+        assert {(r.keep_text, r._k, r.kept, r.maybe) for r in got} == {("mine", 1, 2, 3)} and all((r.doc_id, r.text, r.k) in {(d, t, n) for d, t, _, _, n in rows} for r in got)
+        assert len(got) == len({t for _, t, *_ in rows})
+
+
 def test_chroma_finds_the_pitch_class():
     t = np.arange(audio.RATE * 2) / audio.RATE
     assert (audio.chroma(np.sin(2 * np.pi * 440 * t)).argmax(axis=1) == 0).all()
