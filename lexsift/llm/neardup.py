@@ -132,12 +132,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """(fp, component_id, n), written: for every distinct fingerprint the smallest doc_id that links reach from it, and its number of rows."""
+    """(fp, root, component_id, n), written: for every distinct fingerprint the smallest fingerprint and the smallest doc_id that links reach from it, and its number of rows."""
     own = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "prints")
     roots = components(links(own.select("fp")))
     rooted = written(own.join(roots, own["fp"] == roots["node"], "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "least")
-    return written(looked_up(rooted, least, ["root"], "members").select("fp", "component_id", "n"), "components")
+    return written(looked_up(rooted, least, ["root"], "members").select("fp", "root", "component_id", "n"), "components")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -155,10 +155,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row for each component left: the smallest (doc_id, text hash), null doc_ids last."""
     prints = fingerprints(docs)
-    found = looked_up(prints, near_duplicates(prints).withColumnRenamed("component_id", "of"), ["fp"], "n")
-    # Components are told apart by their smallest doc_id; those of null doc_ids alone by fingerprint.
+    found = looked_up(prints, near_duplicates(prints), ["fp"], "n")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("one")
-    keep = found.groupBy("of", F.when(F.col("of").isNull(), F.col("fp")).alias("alone")).agg(one).select(F.col("one.doc_id").alias("keep_id"), F.col("one.k").alias("keep_k"))
+    keep = found.groupBy("root").agg(one).select(F.col("one.doc_id").alias("keep_id"), F.col("one.k").alias("keep_k"))
     return keep_rows(docs, prints.select("doc_id", "k"), keep)
 
 
