@@ -393,8 +393,8 @@ def test_keep_good_leaves_columns_alone(spark):
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [i for i in range(50) if i % 5]
     assert {r.judged_text for r in kept.collect()} == {"mine"} and all(r.k == r.doc_id for r in kept.collect())
-    with pytest.raises(ValueError):
-        quality.keep_good(df.withColumn("_K", quality.F.lit(1)))
+    clash = quality.keep_good(df.withColumn("_K", quality.F.lit(1)).withColumn("__maybe", quality.F.lit(2)))
+    assert {(r["_K"], r["__maybe"]) for r in clash.collect()} == {(1, 2)} and clash.count() == kept.count()
 
 
 def test_shifted_and_noisy_audio_aligns(spark):
