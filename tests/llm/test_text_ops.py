@@ -562,6 +562,61 @@ def test_near_dedup_equals_brute_force_jaccard(spark, monkeypatch):
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def brute_near(texts):
+    """For each text the smallest index of the texts that links of a five-word Jaccard similarity of 0.8 reach from it."""
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited(rng, text, edits, kinds="rid"):
+    text = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(text)), rng.choice(kinds)
+        text[at : at + (kind != "i")] = [] if kind == "d" else [f"x{rng.randrange(12)}"]
+    return text
+
+
+@pytest.mark.parametrize("crowd", [1, 16])
+def test_near_dedup_of_crowds_loses_no_link(spark, monkeypatch, crowd):
+    monkeypatch.setattr(neartext, "CROWD", crowd)
+    rng = random.Random(crowd)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 90, 150]))]
+        for edits in range(12):
+            other = edited(rng, base, edits)
+            texts += [" ".join(edited(rng, other, rng.randint(0, 3), kinds)) for kinds in ("rid", "r", "d", "i", "id")]
+            texts.append(" ".join(other + ["a", "notice", "that", "many", "texts", "have", "at", "their", "end"]))
+    rng.shuffle(texts)
+    want = brute_near(texts)
+    assert len(texts) / 8 < len(set(want)) < len(texts) * 3 / 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in neartext.keep_one(df).collect()) == sorted(set(want))
+
+
+def test_near_dedup_compares_few_pairs_of_a_large_group(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base), *(" ".join(f"y{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(base)) for n in (1, 4) for at in (set(rng.sample(range(150), n)) for _ in range(150)))]
+    pairs, written = [], neartext.written
+    monkeypatch.setattr(neartext, "written", lambda df, label: (made := written(df, label), label == "across" and pairs.append(made.count()))[0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in neartext.keep_one(df).collect()) == sorted(set(brute_near(texts)))
+    assert len(pairs) == 1 and pairs[0] < 4 * len(texts)
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
